@@ -44,10 +44,11 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def hash_words(arr: pa.Array, word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of every text, A-Z lower-cased, in order; offsets[i]:offsets[i+1] are text i's.
+def hash_words(arr: pa.Array, classes: np.ndarray = NOT_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of every text in order, A-Z lower-cased if so asked; offsets[i]:offsets[i+1] are text i's.
 
-    Null has no words. Texts are cut into pieces of about 1 MB at word boundaries, so memory per step is bounded
+    classes maps bytes to classes: 0 is between words, and a word is a longest run of one other class. Null has no
+    words. Texts are cut into pieces of about 1 MB at word boundaries, so memory per step is bounded
     by the longest single word; hashes do not depend on the cuts.
     """
     raw, off = utf8(arr)
@@ -58,23 +59,25 @@ def hash_words(arr: pa.Array, word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray,
     while at < total:
         end = min(total, at + _CHUNK)
         while end < total:  # move the cut to a place between words
-            gaps = np.flatnonzero(~word[raw[at:end]])
+            gaps = np.flatnonzero(classes[raw[at:end]] == 0)
             inner = edges[(edges > at) & (edges <= end)] if len(edges) else edges
             cut = max(at + int(gaps[-1]) + 1 if len(gaps) else at, int(inner[-1]) if len(inner) else at)
             if cut > at:
                 end = cut
                 break
             end = min(total, end + _CHUNK)
-        b = _LOWER[raw[at:end]]
-        m = word[b]
+        b = raw[at:end]
+        kind = classes[b]
+        b = _LOWER[b] if lower else b
+        m = kind != 0
         lo, hi = np.searchsorted(off, [at, end])
         local = off[lo:hi + 1]
         local = local[(local > at) & (local < end)] - at
         first = m.copy()
-        first[1:] &= ~m[:-1]
+        first[1:] &= kind[1:] != kind[:-1]
         first[local] = m[local]
         last = m.copy()
-        last[:-1] &= ~m[1:]
+        last[:-1] &= kind[:-1] != kind[1:]
         last[local - 1] = m[local - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
         if len(s):
@@ -90,6 +93,23 @@ def hash_words(arr: pa.Array, word: np.ndarray = NOT_SPACE) -> tuple[np.ndarray,
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), off).astype(np.int64)
 
 
+def range_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges starts[i]:ends[i], which are in order and don't overlap."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _CHUNK, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        b = raw[lo:hi]
+        pw, inv = _powers(len(b) + 1)
+        acc = np.zeros(len(b) + 1, dtype=np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * pw[:len(b)], out=acc[1:])
+        s, e = starts[i:j] - lo, ends[i:j] - lo
+        out[i:j] = mix((acc[e] - acc[s]) * inv[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
+
+
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Order-dependent hash of pairs."""
     return mix(a * np.uint64(0xA0761D6478BD642F) + mix(b + np.uint64(0xE7037ED1A0B428DB)))
