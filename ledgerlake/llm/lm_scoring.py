@@ -25,7 +25,7 @@ from ._common import crc_mod, documents, materialise
 from ._words import combine, hash_words
 
 #: Tokens of a block, and n-grams of a range of the hash space, in expectation.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 END, START = np.uint64(1), np.uint64(2)
 #: Steps per octave of a probability in the statistics of expectation-maximisation; ZERO stands for probability 0.
 STEPS, ZERO = 2, 255
@@ -62,6 +62,12 @@ def _blocks(block: int):
     return run
 
 
+def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows hold megabytes; one at a time is turned into Python objects."""
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
 class _Block:
     """One block's tokens and its distinct n-grams, sorted by hash, of each order."""
 
@@ -106,7 +112,7 @@ def _requests(order: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 b = _Block(row, order)
                 for k in range(order):
                     keys, cnt = b.keys[k], b.train_counts(k)
@@ -160,7 +166,7 @@ def _statistics(order: int, ranges: int, n: float):
     """Training places by context bucket and probabilities of each order, all with the place itself deleted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 b = _Block(row, order)
                 grams, contexts = b.lookup(_counts(row, order, ranges))
                 grams = [g[b.train] - 1 for g in grams]
@@ -207,7 +213,7 @@ def fit_weights(cells: np.ndarray, places: np.ndarray, order: int, uniform: floa
 def _score(order: int, ranges: int, n: int, kinds: int, weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _one_by_one(batch):
                 b = _Block(row, order)
                 grams, contexts = b.lookup(_counts(row, order, ranges))
                 base = np.log10((grams[0] + 0.1) / (n + 0.1 * (kinds + 1)))
@@ -258,4 +264,4 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
 
 
 def op1_deleted_interpolation(spark, sf_dir: str) -> DataFrame:
-    return deleted_interpolation(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 10) == 0, order=3)
+    return deleted_interpolation(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 10) == 0, order=2)
