@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from ._common import documents
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 #: Segments that a worker remembers; when full, it starts anew.
-MEMORY = 300_000
+MEMORY = 1_000_000
 #: Below the lowest piece score by so much scores a character that no piece covers; it becomes its UTF-8 bytes.
 UNKNOWN = 10.0
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
@@ -48,7 +49,6 @@ class Lattice:
         self.ids: dict[str, tuple[int, float]] = {}
         self.byte_ids = [0] * 256
         self.raw: list[bytes] = []
-        self.reach: dict[str, int] = {}
         for i, (piece, score, kind) in enumerate(pieces):
             if kind == "byte":
                 self.byte_ids[int(piece[3:5], 16)] = i
@@ -59,69 +59,74 @@ class Lattice:
                 if re.search("[^ ] |\n", text):
                     raise ValueError(f"piece {piece!r} crosses segments")
                 self.ids[text] = (i, float(score))
-                self.reach[text[:2]] = max(self.reach.get(text[:2], 0), len(text))
             else:
                 self.raw.append(b"")
         self.unknown = min((s for _, s in self.ids.values()), default=0.0) - UNKNOWN
+        self.trie: dict[str, tuple[dict, float, int]] = {}
+        for text in sorted(self.ids):  # a prefix comes before what it starts
+            node = self.trie
+            for c in text[:-1]:
+                node = node.setdefault(c, ({}, 0.0, -1))[0]
+            node[text[-1]] = (node.get(text[-1], ({},))[0], self.ids[text][1], self.ids[text][0])
         self.best: dict[str, tuple[float, float, bytes]] = {}
         self.lists: dict[str, list[tuple[float, bytes]]] = {}
 
-    def _edges(self, seg: str) -> list[list[tuple[int, float, int]]]:
-        """For each end: (start, score, id) of the pieces there; id -1 is a character spelled in bytes."""
-        ends: list[list[tuple[int, float, int]]] = [[] for _ in range(len(seg) + 1)]
-        ids, n = self.ids, len(seg)
+    def _edges(self, seg: str) -> tuple[list[tuple[int, int, float, int]], list[float], list[int]]:
+        """Edges (start, end, score, id) by start, the best score before each place, and the edge that reaches it.
+
+        Id -1 is a character spelled in bytes.
+        """
+        n, root, unknown = len(seg), self.trie, self.unknown
+        score, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
+        edges: list[tuple[int, int, float, int]] = []
         for i in range(n):
-            one = ids.get(seg[i])
-            ends[i + 1].append((i, one[1], one[0]) if one else (i, self.unknown, -1))
-            for j in range(i + 2, min(n, i + self.reach.get(seg[i:i + 2], 0)) + 1):
-                hit = ids.get(seg[i:j])
-                if hit:
-                    ends[j].append((i, hit[1], hit[0]))
-        return ends
-
-    def _forward(self, ends: list[list[tuple[int, float, int]]]) -> tuple[list[float], list[tuple[int, float, int]]]:
-        score, back = [0.0], [(0, 0.0, 0)]
-        for edges in ends[1:]:
-            top, via = -np.inf, edges[0]
-            for e in edges:
-                s = score[e[0]] + e[1]
-                if s > top:
-                    top, via = s, e
-            score.append(top)
-            back.append(via)
-        return score, back
-
-    def _spell(self, seg: str, path: list[tuple[int, int, int]]) -> bytes:
+            node, base = root, score[i]
+            for j in range(i, n):
+                hit = node.get(seg[j])
+                if hit is None:
+                    break
+                node, s, piece = hit
+                if piece >= 0:
+                    if base + s > score[j + 1]:
+                        score[j + 1], back[j + 1] = base + s, len(edges)
+                    edges.append((i, j + 1, s, piece))
+            if not edges or edges[-1][0] != i or seg[i] not in self.ids:
+                if base + unknown > score[i + 1]:
+                    score[i + 1], back[i + 1] = base + unknown, len(edges)
+                edges.append((i, i + 1, unknown, -1))
+        return edges, score, back
+
+    def _spell(self, seg: str, path: list[tuple[int, int, float, int]]) -> bytes:
+        if all(e[3] >= 0 for e in path):
+            return array("i", [e[3] for e in path]).tobytes()
         out: list[int] = []
-        for i, j, piece in path:
+        for i, j, _, piece in path:
             out += [piece] if piece >= 0 else [self.byte_ids[b] for b in seg[i:j].encode("utf-8", "surrogatepass")]
-        return np.array(out, dtype=np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def one_best(self, seg: str) -> tuple[float, float, bytes]:
         """Score, gap to the second best path (infinite if there is none) and ids of the best path."""
         found = self.best.get(seg)
         if found is None:
-            ends = self._edges(seg)
-            score, back = self._forward(ends)
-            n = len(seg)
-            path, on_path, j = [], set(), n
+            edges, score, back = self._edges(seg)
+            n = j = len(seg)
+            path = []
             while j:
-                e = back[j]
-                path.append((e[0], j, e[2]))
-                on_path.add((e[0], j))
-                j = e[0]
+                path.append(back[j])
+                j = edges[back[j]][0]
+            on_path = set(path)
             rest = [-np.inf] * n + [0.0]
             second = -np.inf
-            for j in range(n, 0, -1):
-                tail = rest[j]
-                for i, s, _ in ends[j]:
-                    if s + tail > rest[i]:
-                        rest[i] = s + tail
-                    if (i, j) not in on_path and score[i] + s + tail > second:
-                        second = score[i] + s + tail
+            for k in range(len(edges) - 1, -1, -1):
+                i, j, s, _ = edges[k]
+                s += rest[j]
+                if s > rest[i]:
+                    rest[i] = s
+                if score[i] + s > second and k not in on_path:
+                    second = score[i] + s
             if len(self.best) >= MEMORY:
                 self.best.clear()
-            found = self.best[seg] = (score[n], score[n] - second, self._spell(seg, path[::-1]))
+            found = self.best[seg] = (score[n], score[n] - second, self._spell(seg, [edges[k] for k in reversed(path)]))
         return found
 
     def n_best_paths(self, seg: str) -> list[tuple[float, bytes]]:
@@ -131,8 +136,10 @@ class Lattice:
         """
         found = self.lists.get(seg)
         if found is None:
-            ends = self._edges(seg)
-            score, _ = self._forward(ends)
+            edges, score, _ = self._edges(seg)
+            ends: list[list[tuple[int, int, float, int]]] = [[] for _ in range(len(seg) + 1)]
+            for e in edges:
+                ends[e[1]].append(e)
             tick = itertools.count()
             agenda = [(-score[len(seg)], len(seg), next(tick), 0.0, None)]
             found = []
@@ -145,8 +152,8 @@ class Lattice:
                         path = path[1]
                     found.append((tail, self._spell(seg, steps)))
                     continue
-                for i, s, piece in ends[j]:
-                    heapq.heappush(agenda, (-(score[i] + s + tail), i, next(tick), tail + s, ((i, j, piece), path)))
+                for e in ends[j]:
+                    heapq.heappush(agenda, (-(score[e[0]] + e[2] + tail), e[0], next(tick), tail + e[2], (e, path)))
             if len(self.lists) >= MEMORY // 10:
                 self.lists.clear()
             self.lists[seg] = found
@@ -157,16 +164,16 @@ class Lattice:
         if not text:
             return [(0.0, np.zeros(0, np.int32))]
         segs = _SEGMENT.findall(" " + text)
-        known = [self.one_best(s) for s in segs]
-        total = sum(k[0] for k in known)
-        loose = heapq.nsmallest(self.n_best - 1, ((k[1], i) for i, k in enumerate(known) if k[1] < np.inf))
-        lists = [self.n_best_paths(segs[i]) for _, i in loose]
+        seen, work = self.best.get, self.one_best
+        known = [seen(s) or work(s) for s in segs]
+        score, gaps, parts = map(list, zip(*known))
+        loose = [i for i in heapq.nsmallest(self.n_best - 1, range(len(segs)), key=gaps.__getitem__) if gaps[i] < np.inf]
+        lists = [self.n_best_paths(segs[i]) for i in loose]
         out = []
         ranks = sorted((-sum(l[r][0] for l, r in zip(lists, pick)), pick) for pick in itertools.product(*[range(len(l)) for l in lists]) if sum(pick) < self.n_best)
-        base = total - sum(known[i][0] for _, i in loose)
-        parts = [k[2] for k in known]
+        base = sum(score) - sum(score[i] for i in loose)
         for minus, pick in ranks[:self.n_best]:
-            for (_, i), l, r in zip(loose, lists, pick):
+            for i, l, r in zip(loose, lists, pick):
                 parts[i] = l[r][1]
             out.append((base - minus, np.frombuffer(b"".join(parts), np.int32)))
         return out
