@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -44,6 +46,16 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def slices(batch: pa.RecordBatch, limit: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts have about `limit` bytes each (a longer text is a part), to bound working memory."""
+    size = np.cumsum(np.diff(utf8(batch.column("text"))[1]))
+    at, base = 0, 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(size, base + limit, "right")))
+        yield batch.slice(at, to - at)
+        at, base = to, int(size[to - 1])
+
+
 def hash_words(arr: pa.Array, classes: np.ndarray = NOT_SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of every text in order, A-Z lower-cased if so asked; offsets[i]:offsets[i+1] are text i's.
 

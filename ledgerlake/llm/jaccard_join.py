@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, documents, materialise
-from ._words import hash_words, ngram_hashes
+from ._words import hash_words, ngram_hashes, slices
 
 #: Members of a group at most, in expectation (hot keys are dealt into so many groups by a hash).
 GROUP_SIZE = 256
@@ -41,7 +41,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 def _sketch(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             n, sig, tok, extra = [], [], [], []
             for _, s in _sets(batch, k):
                 n.append(len(s))
@@ -59,7 +59,7 @@ def _sketch(k: int, percent: int):
 def _full(k: int):
     """Sets of the needed texts; rows of the same doc_id with another set are dropped by their digest."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             want = batch.column("sig").to_pylist()
             keep, sets = [], []
             for i, s in _sets(batch, k):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents, materialise
-from ._words import combine, range_hashes, utf8
+from ._words import combine, range_hashes, slices, utf8
 
 #: Lines and words that a chunk must have to be removed.
 MIN_LINES, MIN_WORDS = 2, 10
@@ -76,7 +76,7 @@ def line_chunks(arr: pa.Array, min_lines: int = MIN_LINES, min_words: int = MIN_
 
 def _find(min_lines: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             doc, start, end, h = line_chunks(batch.column("text"), min_lines, min_words)
             idx = pa.array(doc)
             yield pa.RecordBatch.from_arrays(

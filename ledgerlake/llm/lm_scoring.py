@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
 from ._common import crc_mod, documents, materialise
-from ._words import combine, hash_words
+from ._words import combine, hash_words, slices
 
 #: Tokens of a block, and n-grams of a range of the hash space, in expectation.
 BLOCK = 1_000_000
@@ -46,7 +46,7 @@ def _blocks(block: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, held, parts, size = [], [], [], 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             words, off = hash_words(batch.column("text"))
             ids, out = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             for i in range(batch.num_rows):

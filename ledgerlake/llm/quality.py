@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
 from ._common import crc_mod, documents, materialise
-from ._words import hash_words, mix
+from ._words import hash_words, mix, slices
 
 #: Word rows and dimensions; float32, so 4 MB. Slices in which the matrix is summed up.
 ROWS, DIM, SLICES = 1 << 14, 64, 64
@@ -45,7 +45,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     code = mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(77))
     place = np.stack([(code >> np.uint64(8 * j)).astype(np.int64) % DIM for j in range(NONZERO)])
     sign = np.stack([1.0 - 2.0 * ((code >> np.uint64(60 + j)) & np.uint64(1)).astype(np.float64) for j in range(NONZERO)])
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole)):
         words, off = hash_words(batch.column("text"), CLASSES, lower=False)
         row = _rows(words)
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
@@ -155,7 +155,7 @@ class Network:
 
 def _features(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             x = pooled(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("tune"), pa.array([r.tobytes() for r in x], pa.binary())], names=["y", "tune", "x"])
     return run
@@ -163,7 +163,7 @@ def _features(shared):
 
 def _apply(shared, model, prior: float, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             p = model.probabilities(pooled(batch.column("text"), shared.value)) if model else np.full(batch.num_rows, prior)
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(p, pa.float64())], names=[*keep, "q_score"])
     return run
