@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
+from weakref import WeakKeyDictionary
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._words import mix
+
 #: White space of the contracts: space and the five ASCII controls 0x09-0x0D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 _OWN_FOLDERS: dict[str, str] = {}
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,7 +37,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlake/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what materialise() wrote for frames that nothing will read again, and let Spark drop old shuffle files.
+
+    Spark removes the shuffle files of a finished query once the driver's JVM has collected its plan; asking for a
+    collection here keeps the files of one step from adding to those of the next.
+    """
+    for df in frames:
+        spark, path = df.sparkSession, _PATHS.pop(df)
+        jvm = spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    for _ in range(2):  # Python lets go of its handles in a thread of its own
+        gc.collect()
+        jvm.System.gc()
+        time.sleep(0.2)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
@@ -41,6 +68,37 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bits of a key filter at most: 8 MB, whatever the number of keys. A fuller filter lets more rows pass, never fewer.
+FILTER_BITS = 1 << 26
+
+
+def key_filter(keys: DataFrame) -> np.ndarray:
+    """A Bloom filter (uint8) of a DataFrame of one long column, for dropping rows early on the other side of a join."""
+    bits = min(FILTER_BITS, 1 << max(16, (keys.count() * 16).bit_length()))
+
+    def fill(batches):
+        own = np.zeros(bits // 8, dtype=np.uint8)
+        for batch in batches:
+            for at in _bits(batch.column(0), bits):
+                np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], names=["bits"])
+    parts = keys.coalesce(8).mapInArrow(fill, "bits binary").collect()  # 8 arrays of 8 MB at most
+    out = np.zeros(bits // 8, dtype=np.uint8)
+    for r in parts:
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _bits(column: pa.Array, bits: int) -> list[np.ndarray]:
+    h = mix(column.cast(pa.int64()).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+    return [(x & np.uint64(bits - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
+
+
+def may_hold(table: np.ndarray, column: pa.Array) -> np.ndarray:
+    a, b = ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in _bits(column, len(table) * 8))
+    return (a & b).astype(bool)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), component the smallest id reachable.
 
@@ -66,6 +124,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m"))
         nxt = materialise(small.distinct(), "edges")
         now = fingerprint(nxt)
+        discard(cur)
         cur, done, seen = nxt, now == seen, now
         if done:
             roots = cur.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()

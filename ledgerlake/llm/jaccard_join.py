@@ -17,13 +17,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, documents, materialise
+from ._common import components, discard, documents, key_filter, materialise, may_hold
 from ._words import hash_words, ngram_hashes, slices
 
 #: Members of a group at most, in expectation (hot keys are dealt into so many groups by a hash).
 GROUP_SIZE = 256
-#: One token in SAMPLE is counted over the whole corpus; the others still take part in every exact comparison.
-SAMPLE = 4
+
+
+def sample_of(percent: int) -> int:
+    """One token in so many is counted over the whole corpus; the others still take part in every exact comparison.
+
+    The share counted has to be well above the share in which linked sets may differ, or unrelated sets pass.
+    """
+    return 4 if percent >= 90 else 3 if percent >= 80 else 2 if percent >= 65 else 1
 
 
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -40,13 +46,15 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sketch(k: int, percent: int):
+    sample = np.uint64(sample_of(percent))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole)):
             n, sig, tok, extra = [], [], [], []
             for _, s in _sets(batch, k):
                 n.append(len(s))
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                in_sample = s % np.uint64(SAMPLE) == 0
+                in_sample = s % sample == 0
                 tok.append(s[in_sample])
                 short = len(s) - -(-percent * len(s) // 100) + 1 - len(tok[-1])
                 extra.append(s[~in_sample][:max(0, short)])
@@ -56,19 +64,15 @@ def _sketch(k: int, percent: int):
     return run
 
 
-def _full(k: int):
-    """Sets of the needed texts; rows of the same doc_id with another set are dropped by their digest."""
+def _full(k: int, wanted):
+    """Whole sets of the texts whose doc_id passes a key filter."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole)):
-            want = batch.column("sig").to_pylist()
-            keep, sets = [], []
-            for i, s in _sets(batch, k):
-                if len(s) and hashlib.blake2b(s.tobytes(), digest_size=16).digest() == want[i]:
-                    keep.append(i)
-                    sets.append(s)
-            idx = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("gid").take(idx), batch.column("doc_id").take(idx), _lists(sets)],
-                                             names=["gid", "rep", "toks"])
+        for whole in batches:
+            for batch in slices(whole.filter(pa.array(may_hold(wanted.value, whole.column("doc_id"))))):
+                sets = [s for _, s in _sets(batch, k)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), _lists(sets)],
+                    names=["doc_id", "sig", "toks"])
     return run
 
 
@@ -150,10 +154,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, group_siz
     # Equal sets are one from here on; their prefixes are equal, too.
     left = left.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("mh").alias("mh"), F.first("prefix").alias("prefix"))
     left = materialise(left, "left")
+    rows = materialise(sketch.select("doc_id", F.col("n").alias("n_shingles"), "sig"), "rows")
+    discard(sketch)
 
     parts = left.groupBy("mh").agg(F.ceil(F.count("*") / group_size).alias("parts"))
     grouped = left.join(parts, "mh").withColumn("gid", F.xxhash64("mh", F.pmod(F.xxhash64("sig"), F.col("parts"))))
     grouped = materialise(grouped.select("rep", "sig", "n", "prefix", "gid"), "grouped")
+    discard(left)
     matrix = grouped.select("gid", "n", F.explode("prefix").alias("tok")).groupBy("tok", "gid").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     a, b = matrix.alias("a"), matrix.alias("b")
     pairs = a.join(b, (F.col("a.tok") == F.col("b.tok")) & (F.col("a.gid") < F.col("b.gid"))
@@ -164,12 +171,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, group_siz
 
     sides = pairs.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("gid"))
     need = grouped.join(sides.select("gid").distinct(), "gid", "left_semi").select(F.col("rep").alias("doc_id"), "sig", "gid")
-    sets = docs.join(need, "doc_id").select("gid", "doc_id", "sig", "text").mapInArrow(_full(k), "gid long, rep long, toks array<long>")
-    sets = materialise(sets, "sets")
+    wanted = docs.sparkSession.sparkContext.broadcast(key_filter(need.select("doc_id")))  # 8 MB at most
+    sets = docs.mapInArrow(_full(k, wanted), "doc_id long, sig binary, toks array<long>").join(need, ["doc_id", "sig"])
+    sets = materialise(sets.select("gid", F.col("doc_id").alias("rep"), "toks"), "sets")
+    discard(grouped)
     edges = sides.join(sets, "gid").groupBy("ga", "gb").applyInPandas(_open(percent), "a long, b long")
     comp = components(edges)
+    discard(sets, pairs)
 
-    rows = sketch.select("doc_id", F.col("n").alias("n_shingles"), "sig")
     reps = rows.where("n_shingles > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     out = rows.join(reps, "sig", "left").join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise
+from ._common import discard, documents, materialise
 from ._words import combine, range_hashes, slices, utf8
 
 #: Lines and words that a chunk must have to be removed.
@@ -107,10 +107,12 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
         "id", "th", "p.start", "p.end", "p.h", F.substring("raw", (F.col("p.start") + 1).cast("int"), (F.col("p.end") - F.col("p.start")).cast("int")).alias("piece"))
     # the separator after the chunk may differ
     found = materialise(found.withColumn("piece", F.regexp_replace(F.decode("piece", "UTF-8"), r"[ \n]\z", "")), "found")
+    discard(chunks)
     first = found.groupBy("h").agg(F.min(F.struct("id", "th", "start", "piece")).alias("first"))
     gone = found.join(first, "h").where(
         (F.col("piece") == F.col("first.piece")) & (F.struct("id", "th", "start") != F.struct("first.id", "first.th", "first.start")))
     gone = materialise(gone.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("cuts")), "gone")
+    discard(found)
 
     raw = F.encode(F.col("text").cast("string"), "UTF-8")
     part = lambda a, b: F.substring(F.col("ld_raw"), (a + 1).cast("int"), (b - a).cast("int"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
-from ._common import crc_mod, documents, materialise
+from ._common import crc_mod, discard, documents, materialise
 from ._words import combine, hash_words, slices
 
 #: Tokens of a block, and n-grams of a range of the hash space, in expectation.
@@ -255,6 +255,7 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
     kinds, n = found[0] or 0, found[1] or 0
     by_block = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "reply"))).alias("replies"))
     joined = materialise(blocks.join(by_block, "block"), "joined")
+    discard(blocks, replies)
 
     # At most a cell for each bucket and tuple of half-octave steps, however large the corpus.
     cells = joined.mapInArrow(_statistics(order, ranges, float(n)), "cell long, places long").groupBy("cell").agg(F.sum("places").alias("places")).toPandas()
