@@ -55,14 +55,17 @@ def line_chunks(arr: pa.Array, min_lines: int = MIN_LINES, min_words: int = MIN_
     sentences = np.bincount(text_line)[text_line]
     rich = sentences > 1
     edge = last_of_text_line & (rich | np.append(rich[1:], False))
-    rolling = combine(np.where(new_doc, np.uint64(0), np.roll(h, 1)), h)
-    before = np.where(new_doc, _ALL, np.roll(rolling, 1))
-    behind = np.where(last_of_doc, _ALL, np.roll(rolling, -1))
+    # nothing before such an edge has a say in the boundaries behind it
+    ends = last_of_doc | edge
+    heads = np.concatenate([[True], ends[:-1]])
+    rolling = combine(np.where(heads, np.uint64(0), np.roll(h, 1)), h)
+    before = np.where(heads, _ALL, np.roll(rolling, 1))
+    behind = np.where(ends, _ALL, np.roll(rolling, -1))
     low = (rolling < before) & (rolling <= behind)
     # no boundary that would leave one sentence alone at either end of such a text line
     first_of_line = np.concatenate([[True], last_of_text_line[:-1]])
     low &= ~(rich & (first_of_line | np.append(last_of_text_line[1:], True)))
-    bound = low | edge | last_of_doc
+    bound = low | ends
 
     b_end = np.flatnonzero(bound)
     b_start = np.concatenate([[0], b_end[:-1] + 1])
