@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SPARK = {
     "observations": ("lineitem", """
-        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS observation_id, concat('run-', l_suppkey % 3) AS run_id,
+        SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(round(l_extendedprice * 100) AS BIGINT)) AS observation_id, concat('run-', l_suppkey % 3) AS run_id,
           concat_ws('-', l_orderkey, l_linenumber) AS observation_key, element_at(array('static', 'slowly_changing', 'dynamic'), CAST(l_orderkey % 3 AS INT) + 1) AS field_kind,
           CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS STRING) AS value_json,
           element_at(array('unknown', 'weak_signal', 'independent_secondary', 'official_secondary', 'direct_primary'), (ascii(l_returnflag) + ascii(l_linestatus)) % 5 + 1) AS source_strength,
@@ -44,7 +44,7 @@ _SPARK = {
 #: DuckDB common table expressions of the same ledgers.
 SQL = {
     "observations": """obs AS (
-        SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS id, l_suppkey % 3 AS run, l_orderkey || '-' || l_linenumber AS k, l_orderkey % 3 AS kind,
+        SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(round(l_extendedprice * 100) AS BIGINT) AS id, l_suppkey % 3 AS run, l_orderkey || '-' || l_linenumber AS k, l_orderkey % 3 AS kind,
           CAST(round(l_extendedprice * 100) AS BIGINT) AS v, (ascii(l_returnflag) + ascii(l_linestatus)) % 5 AS strength, epoch(l_shipdate) AS o, epoch(l_shipdate) + 86400 * (l_partkey % 10) AS r,
           'f' || l_linenumber AS field, CAST(l_orderkey AS VARCHAR) AS target_id
         FROM lineitem)""",
