@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,6 +84,11 @@ def canonical_url(url: Column) -> Column:
     return F.when(~absolute, u).when(F.instr(authority, "@") > 0, F.lit(None).cast("string")).otherwise(out)
 
 
+def version_of(text: object) -> tuple[int, ...]:
+    """major.minor.patch of a contract on the driver; empty, so below any version, if malformed."""
+    return tuple(map(int, text.split("."))) if isinstance(text, str) and re.fullmatch(r"[0-9]{1,9}\.[0-9]{1,9}\.[0-9]{1,9}", text) else ()
+
+
 def version_at_least(version: Column, least: tuple[int, int, int]) -> Column:
     """major.minor.patch compared as integers; a malformed version is false."""
     ok = F.regexp_like(F.coalesce(version, F.lit("")), F.lit(r"^[0-9]{1,9}\.[0-9]{1,9}\.[0-9]{1,9}$"))

@@ -1,5 +1,6 @@
 """State vocabularies of the evidence ledgers (fixed values)."""
 
+DEPTHS = ("quick", "standard", "exhaustive")
 COVERAGE_STATES = ("checked_hit", "checked_no_confirmation", "blocked", "unchecked")
 TERMINAL_REPORT = ("checked_hit", "checked_no_confirmation", "blocked")
 TERMINAL_SELECTOR = ("checked_hit", "checked_no_confirmation")

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.expr import json_map, json_object, json_text, stable_id
 from ..functions.vocab import ACTIVE_TASKS, HARD_FAILURE, TERMINAL_SELECTOR
 from .attempts import route_metrics, route_of_selector
 from .frontier import discovery_complete, open_frontiers
 from .latest import ATTEMPT, COVERAGE_SELECT, latest
 
+SELECTOR_VERSION, POLICY_NAME = "1.0.0", "coverage_first_yield_adaptive"
 PRIOR = {"success_probability": 0.5, "expected_new_records": 0.5, "utility": 0.25}
 
 
@@ -116,3 +118,34 @@ def decide(cand: DataFrame, frontier: DataFrame, policy: Policy, mode: str = "bo
         stop = "no_eligible_targets"
     return {"selected": [r.asDict() for r in picks], "selected_count": len(picks), "candidate_count": sums[2], "unresolved_required_cells": sums[0] or 0,
             "actionable_required_cells": actionable, "exclusion_counts": excluded, "discovery_complete": complete, "open_frontier_ids": open_, "stop_decision": stop}
+
+
+def decision_id() -> Column:
+    """The id of a decision row from what was decided: run, snapshots, policy, picks in order, and the stop decision."""
+    number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    policy = json_object(name=json_text(F.col("policy.name")), **{k: number(f"policy.{k}") for k in ("limit", "exploration_slots", "max_attempts_per_target_route")})
+    picks = F.transform("selected", lambda s: json_object(selected_route_id=json_text(s["selected_route_id"]), target_id=json_text(s["target_id"])))
+    basis = {c: json_text(F.col(c)) for c in ("run_id", "input_snapshot", "selector_version", "stop_decision")}
+    return stable_id("BDEC", json_object(policy=policy, ledger_snapshot=json_map(F.col("ledger_snapshot")), selected=F.concat(F.lit("["), F.array_join(picks, ","), F.lit("]")), **basis))
+
+
+def ledger_digest(df: DataFrame) -> str:
+    """A SHA-256 hex digest of a ledger's rows, whatever their order and layout; repeated rows count."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
+    sums = [F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)")).cast("string") for seed in (1, 2, 3)]
+    return df.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256)).first()[0]
+
+
+DECISION_SCHEMA = ("run_id string, goal_id string, input_snapshot string, decided_at string, selector_version string, "
+                   "policy struct<name:string,limit:bigint,exploration_slots:bigint,max_attempts_per_target_route:bigint>, ledger_snapshot map<string,string>, "
+                   "selected array<struct<target_id:string,selected_route_id:string,debt:bigint,utility:double,selection_reason:string>>, selected_count bigint, candidate_count bigint, "
+                   "unresolved_required_cells bigint, actionable_required_cells bigint, exclusion_counts map<string,bigint>, discovery_complete boolean, open_frontier_ids array<string>, stop_decision string")
+
+
+def decision_row(decision: dict, policy: Policy, manifest: dict, ledgers: dict[str, DataFrame], decided_at: str) -> DataFrame:
+    """The row that records a decision, for an idempotent append; ledgers are those that it was based on."""
+    spark = next(iter(ledgers.values())).sparkSession
+    given = (POLICY_NAME, policy.limit, min(policy.exploration_slots, policy.limit), policy.max_attempts)
+    row = decision | {k: manifest.get(k) for k in ("run_id", "goal_id", "input_snapshot")} | {
+        "decided_at": decided_at, "selector_version": SELECTOR_VERSION, "policy": given, "ledger_snapshot": {n: ledger_digest(df) for n, df in sorted(ledgers.items())}}
+    return spark.createDataFrame([row], DECISION_SCHEMA).select(decision_id().alias("decision_id"), "*")

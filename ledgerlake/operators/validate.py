@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocab as V
-from ..functions.expr import contained_path, json_object, json_text, stable_id
+from ..functions.expr import contained_path, json_object, json_text, stable_id, version_of
 from .latest import FRONTIER, latest
 
 Tables = dict[str, DataFrame]
 Rule = Callable[[Tables], DataFrame]
+ISSUE_SCHEMA = "rule_id string, severity string, table_name string, row_key string, message string"
 KEYS = {"sources": "source_id", "frontier": "frontier_event_id", "targets": "target_id", "attempts": "attempt_id", "decisions": "decision_id", "coverage": "attempt_id",
         "raw_artifacts": "raw_artifact_id", "observations": "observation_id", "tasks": "task_id", "claims": "claim_id", "current_view": "observation_key", "conflicts": "observation_key"}
 
@@ -247,23 +248,42 @@ def check_contracts(goal: dict, manifest: dict, dictionary: dict | None = None,
     """(rule, severity, message) of the one-row contracts."""
     out: list[tuple[str, str, str]] = []
     add = lambda rule, bad, text, severity="error": out.append((rule, severity, text)) if bad else None
-    for c in ("schema_version", "goal_id", "run_id", "mode", "depth"):
+    for c in ("schema_version", "goal_id", "mode", "depth", "as_of"):
         add("V05", c in goal and c in manifest and goal[c] != manifest[c], f"goal and manifest differ in {c}")
+    add("V06", "depth" in goal and goal["depth"] not in V.DEPTHS, "invalid depth")
     snapshot = hashlib.sha256(json.dumps(goal, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
     add("V07", manifest.get("input_snapshot") != snapshot, "input_snapshot does not match the goal")
+    version = version_of(manifest.get("schema_version"))
+    whole = lambda x, least: isinstance(x, int) and not isinstance(x, bool) and x >= least
+    filled = lambda x: isinstance(x, str) and x.strip() != ""
     co = manifest.get("coordination")
+    add("V08", version >= V.GATES["routing"] and not isinstance(co, dict), "coordination must be an object")
     if isinstance(co, dict):
-        lanes = co.get("independent_lane_count", 0)
-        decision = co.get("child_agent_decision")
-        add("V08", decision is not None and decision not in V.CHILD_DECISIONS, "invalid child_agent_decision")
-        add("V09", isinstance(lanes, int) and lanes >= 2 and decision == "single_lane", "several lanes can't be single_lane")
-        add("V11", decision == "unassessed", "coordination is unassessed", "warning")
+        lanes, decision, assessed = co.get("independent_lane_count"), co.get("child_agent_decision"), co.get("assessed")
+        add("V08", not isinstance(assessed, bool), "coordination.assessed must be a boolean")
+        add("V08", not whole(lanes, 0), "independent_lane_count must be an integer of 0 or more")
+        add("V08", decision not in V.CHILD_DECISIONS, "invalid child_agent_decision")
+        if assessed and whole(lanes, 2) and decision != "delegated":
+            add("V09", decision == "single_lane", "several lanes can't be single_lane")
+            add("V09", not filled(co.get("child_agent_reason")), "several lanes without delegation need child_agent_reason")
+        add("V11", assessed is False, "coordination is unassessed", "warning")
         for d in co.get("external_executor_decisions") or []:
+            if not isinstance(d, dict):
+                add("V10", True, "an executor decision must be an object")
+                continue
+            add("V10", any(not isinstance(d.get(k), str) or not d[k] for k in ("executor_id", "capability_gap", "reason")), "executor decision lacks executor_id, capability_gap or reason")
             add("V10", d.get("decision") not in V.EXTERNAL_DECISIONS, "invalid executor decision")
+            add("V10", d.get("decision") in ("selected", "failed_pilot") and not (isinstance(d.get("pilot_attempt_id"), str) and d["pilot_attempt_id"]), "executor decision needs pilot_attempt_id")
     cc = manifest.get("collection_control")
+    add("V12", version >= V.GATES["adaptive"] and not isinstance(cc, dict), "collection_control must be an object")
     if isinstance(cc, dict):
+        add("V12", not isinstance(cc.get("discovery_assessed"), bool), "discovery_assessed must be a boolean")
         add("V12", cc.get("discovery_mode") not in V.DISCOVERY_MODES, "invalid discovery_mode")
-        add("V11", cc.get("discovery_mode") == "unassessed", "discovery is unassessed", "warning")
+        add("V12", cc.get("discovery_mode") in ("bounded_plan", "not_applicable") and not filled(cc.get("discovery_reason")), "discovery_mode needs discovery_reason")
+        add("V12", not filled(cc.get("selector_policy")), "selector_policy must not be empty")
+        for k, least in (("max_attempts_per_target_route", 1), ("max_task_escalations", 0), ("exploration_slots", 0)):
+            add("V12", not whole(cc.get(k), least), f"{k} must be an integer of {least} or more")
+        add("V11", cc.get("discovery_assessed") is False, "discovery is unassessed", "warning")
     for name, c in (("data_dictionary", dictionary), ("coverage_plan", plan), ("field_contract", fields)):
         if c is not None:
             add("V13" if name != "field_contract" else "V14", c.get("schema_version") != goal.get("schema_version") or c.get("goal_id") != goal.get("goal_id"), f"{name} differs from the goal in version or id")

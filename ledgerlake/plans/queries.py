@@ -345,3 +345,14 @@ def selection_exclusions(spark, d):
     SELECT target_id, route AS selected_route_id, debt, CAST(phase AS INTEGER) AS phase FROM ph ORDER BY phase, r LIMIT 40""", ("attempts", "coverage"))
 def select_batch(spark, d):
     return S.select_batch(_candidates(spark, d), _POLICY).select("target_id", "selected_route_id", "debt", "phase")
+
+
+@query("decision_ids", """SELECT o_custkey, 'BDEC-' || substr(sha256('{"input_snapshot":"s","ledger_snapshot":{"orders":"' || sha256(CAST(o_custkey AS VARCHAR)) || '"},"policy":{"exploration_slots":1,"limit":20,"max_attempts_per_target_route":2,"name":"p"},"run_id":"run-'
+    || o_custkey % 3 || '","selected":[' || string_agg('{"selected_route_id":"' || o_orderpriority || '","target_id":"' || o_orderkey || '"}', ',' ORDER BY o_orderkey) || '],"selector_version":"1.0.0","stop_decision":"continue"}'), 1, 24) AS decision_id FROM orders GROUP BY o_custkey""")
+def decision_ids(spark, d):
+    pick = F.struct("o_orderkey", F.col("o_orderkey").cast("string").alias("target_id"), F.col("o_orderpriority").alias("selected_route_id"))
+    rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(pick)).alias("selected"))  # a decision is one row, its picks a list
+    policy = F.struct(F.lit("p").alias("name"), F.lit(20).alias("limit"), F.lit(1).alias("exploration_slots"), F.lit(2).alias("max_attempts_per_target_route"))
+    rows = rows.withColumns({"run_id": F.concat(F.lit("run-"), F.col("o_custkey") % 3), "input_snapshot": F.lit("s"), "selector_version": F.lit("1.0.0"), "stop_decision": F.lit("continue"),
+                             "policy": policy, "ledger_snapshot": F.create_map(F.lit("orders"), F.sha2(F.col("o_custkey").cast("string"), 256))})
+    return rows.select("o_custkey", S.decision_id().alias("decision_id"))
