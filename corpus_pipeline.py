@@ -21,7 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go, but for their first occurrence; a document of which nothing is left goes."""
+    """Repeated runs of lines go, but for their first occurrence; a document of which nothing is left goes."""
     out = dedup_lines(docs)
     return out.where((F.col("ld_chunks") == 0) | (F.length(F.trim("text")) > 0)).select(*docs.columns)
 

@@ -145,6 +145,40 @@ def test_line_dedup_whole_copies(docs):
     assert got[5] == text and len(got[6]) < len(text) / 4 and got[7].startswith("Intro words.") and got[7].endswith("End.")
 
 
+def test_line_dedup_finds_short_passages_in_any_surroundings(docs):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    line = lambda n: " ".join(word() for _ in range(n)) + "."
+    passages = {(n, s): s.join(line(len(x)) for x in np.array_split(range(52), n)) for n in (1, 2, 3, 4, 5, 6, 52) for s in ("\n", " ")}
+    passages |= {(0, "\n"): "\n".join([line(40), line(10), line(1), line(1)]), (0, " "): "\n".join([line(1), line(1), line(12), line(40)])}
+    rows, want = [], {}
+    for k, ((_, sep), p) in enumerate(passages.items()):
+        for j in range(8):
+            a, b = (sep.join(line(rng.randint(1, 9)) for _ in range(rng.randint(1, 4))) for _ in range(2))
+            rows.append((100 * k + j, a + sep + p + sep + b))
+            want[100 * k + j] = rows[-1][1] if j == 0 else a + sep + b
+    for block in (1_000_000, 50):
+        got = {r["doc_id"]: (r["text"], r["ld_chunks"]) for r in line_dedup.dedup_lines(docs(rows).repartition(3), block=block).collect()}
+        assert {i for i in want if got[i] != (want[i], int(i % 100 > 0))} == set()
+
+
+def test_line_dedup_matches_brute_force(docs):
+    rng = random.Random(6)
+    some = [" ".join(f"w{k}" for _ in range(n)) for k, n in enumerate([1, 1, 2, 4, 6, 9, 12, 55])]
+    texts = [[rng.choice([*some, ""]) for _ in range(rng.randint(1, 9))] for _ in range(60)]
+    seen, want = {}, {}
+    for i, t in enumerate(texts):
+        drop = set()
+        for a, b in itertools.combinations(range(len(t) + 1), 2):
+            n = sum(len(x.split()) for x in t[a:b])
+            if t[a] and t[b - 1] and (n >= 50 or n >= 10 and sum(map(bool, t[a:b])) >= 2) and seen.setdefault(tuple(t[a:b]), (i, a)) != (i, a):
+                drop |= set(range(a, b))
+        want[i] = ["\n".join(t), "\n".join(x for k, x in enumerate(t) if k not in drop).rstrip("\n")][bool(drop)]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(rows + rows[:5]), block=40).collect()}
+    assert got == want
+
+
 # --- op5
 
 def test_quality_learns_and_is_calibrated(spark, docs, odd, sf):
