@@ -53,9 +53,14 @@ def discard(*frames: DataFrame) -> None:
         jvm = spark._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    release(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished queries."""
     for _ in range(2):  # Python lets go of its handles in a thread of its own
         gc.collect()
-        jvm.System.gc()
+        spark._jvm.System.gc()
         time.sleep(0.2)
 
 

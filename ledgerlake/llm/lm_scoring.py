@@ -7,12 +7,14 @@ training token is held out once, its own occurrence taken off all counts it took
 Counting covers the whole corpus. Texts are turned into blocks of about BLOCK tokens; each block sends the distinct
 n-grams it holds, with their training counts, to the range of the hash space that owns them, and gets the corpus
 counts back in the same order. Only distinct n-grams of a block travel, as compressed sorted differences, so a word
-that a third of all rows hold costs one entry per block. No table of counts is collected or broadcast.
+that a third of all rows hold costs one entry per block. Each order asks after the one before has its counts, so that
+the exchange of one order is on disk at a time. No table of counts is collected or broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
-from ._common import crc_mod, discard, documents, materialise
+from ._common import crc_mod, discard, documents, materialise, release
 from ._words import combine, hash_words, slices
 
 #: Tokens of a block, and n-grams of a range of the hash space, in expectation.
@@ -69,13 +71,13 @@ def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 class _Block:
-    """One block's tokens and its distinct n-grams, sorted by hash, of each order."""
+    """One block's tokens and its distinct n-grams, sorted by hash, of each order, or of order `only` + 1 alone."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, only: int | None = None):
         self.lengths = np.asarray(row["lengths"], dtype=np.int64)
         self.held = np.asarray(row["held"], dtype=bool)
         vocab = unpack(row["vocab"], delta=True)
-        stream = unpack(row["stream"], np.uint32).astype(np.int64)
+        stream = unpack(row["stream"], np.uint32)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         self.train = np.repeat(~self.held, self.lengths)
         self.keys, self.inv = [vocab], [stream]
@@ -89,9 +91,9 @@ class _Block:
                 at = self.starts[self.lengths > j] + j
                 before[at] = START
             context = before if k == 1 else combine(before, context)
-            uniq, inv = np.unique(combine(context, words), return_inverse=True)
+            uniq, inv = np.unique(combine(context, words), return_inverse=True) if only in (None, k) else (vocab[:0], stream[:0])
             self.keys.append(uniq)
-            self.inv.append(inv)
+            self.inv.append(inv.astype(np.uint32))
 
     def train_counts(self, k: int) -> np.ndarray:
         return np.bincount(self.inv[k], weights=self.train, minlength=len(self.keys[k])).astype(np.uint64)
@@ -108,21 +110,20 @@ class _Block:
         return grams, contexts
 
 
-def _requests(order: int, ranges: int):
+def _requests(k: int, ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array([(i << 64) // ranges for i in range(1, ranges)], dtype=np.uint64)
         for batch in batches:
             for row in _one_by_one(batch):
-                b = _Block(row, order)
-                for k in range(order):
-                    keys, cnt = b.keys[k], b.train_counts(k)
-                    at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
-                    own = [i for i in range(ranges) if at[i] < at[i + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k * ranges + i for i in own], pa.int64()), pa.array([row["block"]] * len(own), pa.int64()),
-                         pa.array([pack(keys[at[i]:at[i + 1]], delta=True) for i in own], pa.binary()),
-                         pa.array([pack(cnt[at[i]:at[i + 1]]) for i in own], pa.binary())],
-                        names=["range", "block", "keys", "counts"])
+                b = _Block(row, k + 1, only=k)
+                keys, cnt = b.keys[k], b.train_counts(k)
+                at = [0, *np.searchsorted(keys, cuts).tolist(), len(keys)]
+                own = [i for i in range(ranges) if at[i] < at[i + 1]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k * ranges + i for i in own], pa.int64()), pa.array([row["block"]] * len(own), pa.int64()),
+                     pa.array([pack(keys[at[i]:at[i + 1]], delta=True) for i in own], pa.binary()),
+                     pa.array([pack(cnt[at[i]:at[i + 1]]) for i in own], pa.binary())],
+                    names=["range", "block", "keys", "counts"])
     return run
 
 
@@ -248,14 +249,18 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
     total = blocks.agg(F.sum("tokens")).first()[0] or 0
     ranges = max(1, -(-total // block))
 
-    asked = blocks.mapInArrow(_requests(order, ranges), "range long, block long, keys binary, counts binary")
-    replies = asked.groupBy("range").applyInPandas(_answer, "range long, block long, reply binary, kinds long, mass long")
-    replies = materialise(replies, "replies")
-    found = replies.where(F.col("range") < ranges).agg(F.sum("kinds"), F.sum("mass")).first()
+    def ask(k: int) -> DataFrame:
+        asked = blocks.mapInArrow(_requests(k, ranges), "range long, block long, keys binary, counts binary")
+        return materialise(asked.groupBy("range").applyInPandas(_answer, "range long, block long, reply binary, kinds long, mass long"), "replies")
+    replies = []
+    for k in range(order):
+        replies.append(ask(k))
+        release(spark)
+    found = replies[0].agg(F.sum("kinds"), F.sum("mass")).first()
     kinds, n = found[0] or 0, found[1] or 0
-    by_block = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "reply"))).alias("replies"))
+    by_block = reduce(DataFrame.union, replies).groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "reply"))).alias("replies"))
     joined = materialise(blocks.join(by_block, "block"), "joined")
-    discard(blocks, replies)
+    discard(blocks, *replies)
 
     # At most a cell for each bucket and tuple of half-octave steps, however large the corpus.
     cells = joined.mapInArrow(_statistics(order, ranges, float(n)), "cell long, places long").groupBy("cell").agg(F.sum("places").alias("places")).toPandas()
@@ -265,4 +270,4 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
 
 
 def op1_deleted_interpolation(spark, sf_dir: str) -> DataFrame:
-    return deleted_interpolation(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 10) == 0, order=2)
+    return deleted_interpolation(documents(spark, sf_dir), crc_mod(F.col("doc_id"), 10) == 0, order=3)

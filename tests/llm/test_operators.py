@@ -62,6 +62,15 @@ def test_lm_is_a_distribution_and_blocks_do_not_matter(docs):
     assert all(abs(one[i] - many[i]) < 1e-9 for i in one)
 
 
+def test_lm_query_uses_trigrams(spark, docs, tmp_path):
+    rows = [(i, " ".join(random.Random(i).choices(["a b c", "d b e", "a b c d b e"], k=9))) for i in range(60)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    scores = lambda df: {r["doc_id"]: r["score"] for r in df.collect()}
+    got = scores(registry.QUERIES["op1_deleted_interpolation"](spark, str(tmp_path)))
+    three, two = (scores(lm_scoring.deleted_interpolation(docs(rows), crc_mod(F.col("doc_id"), 10) == 0, order=n)) for n in (3, 2))
+    assert all(abs(got[i] - three[i]) < 1e-9 for i in got) and sum(got.values()) > sum(two.values()) + 1
+
+
 def test_lm_weights_climb_and_sum_to_one():
     cells = np.array([lm_scoring.OCTAVES << 16 | 4 << 8 | 255, lm_scoring.OCTAVES << 16 | 10 << 8 | 2])
     w = lm_scoring.fit_weights(cells, np.array([3, 7]), 2, 1e-6)
