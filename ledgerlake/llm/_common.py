@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from weakref import WeakKeyDictionary
 
@@ -21,11 +19,18 @@ _OWN_FOLDERS: dict[str, str] = {}
 _PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
+#: Spark deletes the shuffle files of a query at its end; what we write is read from Parquet, never from the query again.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset and Spark runs in one process (tests), a
+    temporary folder; on a cluster an unset spark.checkpoint.dir is an error."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="ledgerlake-")
@@ -36,32 +41,26 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _PATHS[out] = path
     return out
 
 
 def discard(*frames: DataFrame) -> None:
-    """Delete what materialise() wrote for frames that nothing will read again, and let Spark drop old shuffle files.
-
-    Spark removes the shuffle files of a finished query once the driver's JVM has collected its plan; asking for a
-    collection here keeps the files of one step from adding to those of the next.
-    """
+    """Delete what materialise() wrote for frames that nothing will read again."""
     for df in frames:
-        spark, path = df.sparkSession, _PATHS.pop(df)
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    release(spark)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished queries."""
-    for _ in range(2):  # Python lets go of its handles in a thread of its own
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.2)
+        delete(df.sparkSession, _PATHS.pop(df))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:
