@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import components, discard, documents, key_filter, materialise, may_hold
-from ._words import hash_words, ngram_hashes, slices
+from ._words import hash_words, ngram_hashes, slices, tidy
 
 #: Members of a group at most, in expectation (hot keys are dealt into so many groups by a hash).
 GROUP_SIZE = 256
@@ -177,7 +177,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, group_siz
     be connected becomes groups of its own, which are never opened against each other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = docs.mapInArrow(_sketch(k, percent), "doc_id long, n long, sig binary, tok array<long>")
+    sketch = docs.mapInArrow(tidy(_sketch(k, percent)), "doc_id long, n long, sig binary, tok array<long>")
     sketch = materialise(sketch.withColumn("rid", F.monotonically_increasing_id()), "sketch")
 
     slack = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100)
@@ -193,7 +193,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, group_siz
     discard(sketch)
 
     wanted = docs.sparkSession.sparkContext.broadcast(key_filter(left.select("rep")))  # 8 MB at most
-    full = docs.mapInArrow(_full(k, wanted), "doc_id long, sig binary, toks array<long>").withColumnRenamed("doc_id", "rep")
+    full = docs.mapInArrow(tidy(_full(k, wanted)), "doc_id long, sig binary, toks array<long>").withColumnRenamed("doc_id", "rep")
     sets = materialise(full.join(left, ["rep", "sig"]).dropDuplicates(["rep", "sig"]).select("sid", "rep", "n", "toks"), "sets")
     discard(left)
     seen = sets.select("sid", F.explode("toks").alias("tok"))

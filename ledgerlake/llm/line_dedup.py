@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
 from ._common import discard, documents, materialise
-from ._words import NOT_SPACE, range_hashes, slices, utf8
+from ._words import NOT_SPACE, range_hashes, slices, tidy, utf8
 
 #: Lines (other than blank ones) and words that a run must have to be removed.
 MIN_LINES, MIN_WORDS = 2, 10
@@ -242,13 +242,13 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     """
     text = F.col("text").cast("string")
     identity = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th")]
-    blocks = docs.select(*identity, text.alias("text")).mapInArrow(_find(min_lines, min_words, block), _BLOCK_SCHEMA)
+    blocks = docs.select(*identity, text.alias("text")).mapInArrow(tidy(_find(min_lines, min_words, block)), _BLOCK_SCHEMA)
     blocks = materialise(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
     ranges = max(1, -(-(blocks.agg(F.sum("runs")).first()[0] or 0) // block))
-    asked = blocks.mapInArrow(_requests(ranges), "range long, block long, keys binary, ids binary, ths binary, start binary, several binary")
+    asked = blocks.mapInArrow(tidy(_requests(ranges)), "range long, block long, keys binary, ids binary, ths binary, start binary, several binary")
     replies = materialise(asked.groupBy("range").applyInPandas(_answer, "range long, block long, reply binary"), "replies")
     by_block = replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("range", "reply"))).alias("replies"))
-    runs = blocks.join(by_block, "block").mapInArrow(_marks, "id long, th long, start array<int>, end array<int>, h array<long>, gone array<boolean>")
+    runs = blocks.join(by_block, "block").mapInArrow(tidy(_marks), "id long, th long, start array<int>, end array<int>, h array<long>, gone array<boolean>")
     runs = materialise(runs.dropDuplicates(["id", "th"]), "runs")  # rows of one document have the same ones
     discard(blocks, replies)
 
@@ -263,16 +263,16 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     raw = F.encode(F.col("text").cast("string"), "UTF-8")
     part = lambda a, b: F.substring(F.col("ld_raw"), (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     size = F.octet_length("ld_raw").cast("long")  # the last cut may end one byte beyond it
-    at = F.concat(F.array(F.lit(0).cast("long")), F.col("cuts.end"))
-    to = F.concat(F.col("cuts.start"), F.array(size))
+    at = F.concat(F.array(F.lit(0).cast("long")), F.col("ld_cuts.end"))
+    to = F.concat(F.col("ld_cuts.start"), F.array(size))
     pieces = F.transform(F.arrays_zip(at.alias("a"), to.alias("b")), lambda x: F.decode(part(x["a"], x["b"]), "UTF-8"))
     changed = F.regexp_replace(F.array_join(pieces, ""), r"[ \n]+\z", "")
     left = docs.withColumn("ld_id", identity[0]).withColumn("ld_th", identity[1])
-    out = left.join(gone.withColumnsRenamed({"id": "ld_id", "th": "ld_th"}), ["ld_id", "ld_th"], "left").withColumn("ld_raw", F.when(F.col("cuts").isNotNull(), raw))
-    out = out.withColumn("text", F.when(F.col("cuts").isNotNull(), changed).otherwise(F.col("text")))
+    out = left.join(gone.withColumnsRenamed({"id": "ld_id", "th": "ld_th", "cuts": "ld_cuts"}), ["ld_id", "ld_th"], "left").withColumn("ld_raw", F.when(F.col("ld_cuts").isNotNull(), raw))
+    out = out.withColumn("text", F.when(F.col("ld_cuts").isNotNull(), changed).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("cuts").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns, F.coalesce(F.size("cuts"), F.lit(0)).cast("long").alias("ld_chunks"))
+        out = out.withColumn("n_chars", F.when(F.col("ld_cuts").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns, F.coalesce(F.size("ld_cuts"), F.lit(0)).cast("long").alias("ld_chunks"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

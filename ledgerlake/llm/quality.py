@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
 from ._common import crc_mod, documents, materialise
-from ._words import hash_words, mix, slices
+from ._words import hash_words, mix, slices, tidy
 
 #: Word rows and dimensions; float32, so 4 MB. Slices in which the matrix is summed up.
 ROWS, DIM, SLICES = 1 << 14, 64, 64
@@ -71,7 +71,7 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors (ROWS, DIM) of all texts of docs; rows without words are 0."""
-    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_gather, "slice int, sums binary")
+    partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_gather), "slice int, sums binary")
     sums = partial.repartition(SLICES, "slice").mapInArrow(_add_up, "slice int, sums binary").collect()  # ROWS x DIM in all
     m = np.zeros((SLICES, ROWS * DIM // SLICES))
     for r in sums:
@@ -187,7 +187,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, keep: list[
         .select("doc_id", "y", (F.pmod(F.col("order"), F.lit(5)) == 0).alias("tune")))
     chosen = materialise(chosen, "sample")  # at most `sample` rows of 13 bytes, so it may be broadcast
     rows = docs.join(F.broadcast(chosen), "doc_id").select("y", "tune", F.col("text").cast("string").alias("text"))
-    got = rows.mapInArrow(_features(shared), "y int, tune boolean, x binary").toPandas()
+    got = rows.mapInArrow(tidy(_features(shared)), "y int, tune boolean, x binary").toPandas()
     x = np.stack([np.frombuffer(b) for b in got["x"]]) if len(got) else np.zeros((0, FEATURES))
     y, tune = got["y"].to_numpy(np.int64), got["tune"].to_numpy(bool)
     # the same result whatever the order of arrival
@@ -197,7 +197,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn: Column, keep: list[
     prior = float(y.mean()) if len(y) else 0.5
     cols = list(dict.fromkeys([*keep, "text"]))
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["q_score double"])
-    return docs.select(*cols).mapInArrow(_apply(shared, model, prior, keep), schema)
+    return docs.select(*cols).mapInArrow(tidy(_apply(shared, model, prior, keep)), schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

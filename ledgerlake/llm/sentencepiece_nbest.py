@@ -22,11 +22,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import documents
+from ._words import give_back, slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Segments that a worker remembers; when full, it starts anew.
-MEMORY = 1_000_000
+#: Segments that a worker remembers (about 300 bytes each); when it has more at the start of a slice, it starts anew.
+MEMORY = 300_000
+#: Characters of a segment up to which its best path is found together with those of others.
+TOGETHER = 64
+#: Segments whose best paths are found together.
+BUNCH = 8_000
+#: Bytes of text whose segments are looked up together.
+SLICE = 1 << 21
 #: Below the lowest piece score by so much scores a character that no piece covers; it becomes its UTF-8 bytes.
 UNKNOWN = 10.0
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
@@ -41,6 +48,12 @@ def load_pieces(model_file: str = MODEL_FILE) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
+def _by(places: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the edges by place, in order of places."""
+    order = np.argsort(places, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(places[order])) + 1) if len(order) else []
+
+
 class Lattice:
     """Pieces of a model and the segments worked out so far. A space stands for the model's space mark."""
 
@@ -68,8 +81,33 @@ class Lattice:
             for c in text[:-1]:
                 node = node.setdefault(c, ({}, 0.0, -1))[0]
             node[text[-1]] = (node.get(text[-1], ({},))[0], self.ids[text][1], self.ids[text][0])
-        self.best: dict[str, tuple[float, float, bytes]] = {}
-        self.lists: dict[str, list[tuple[float, bytes]]] = {}
+        self._table()
+        self._forget()
+
+    def _table(self) -> None:
+        """The trie as sorted keys (node, letter) with the node, piece id and score they lead to."""
+        letters = sorted({c for text in self.ids for c in text})
+        self.letters = np.array([ord(c) for c in letters], dtype=np.int64)
+        code, keys, to, piece, score = {c: i for i, c in enumerate(letters)}, [], [], [], []
+        todo, nodes = [(self.trie, 0)], 1
+        while todo:
+            node, own = todo.pop()
+            for c, (below, s, i) in node.items():
+                keys.append(own * len(letters) + code[c])
+                to.append(nodes)
+                piece.append(i)
+                score.append(s)
+                todo.append((below, nodes))
+                nodes += 1
+        order = np.argsort(keys)
+        self.keys, self.to, self.piece, self.piece_score = (np.array(x)[order] for x in (keys or [-1], to or [0], piece or [-1], score or [0.0]))
+
+    def _forget(self) -> None:
+        """Start without segments. By number: score and gap to the second best path (infinite if there is none) of the
+        best path, whether its pieces spell the segment, and where its ids end in `flat`."""
+        self.known: dict[str, int] = {}
+        self.score, self.gap, self.exact, self.flat, self.ends = array("d"), array("d"), array("b"), array("i"), array("q", [0])
+        self.lists: dict[str, list[tuple[float, np.ndarray]]] = {}
 
     def _edges(self, seg: str) -> tuple[list[tuple[int, int, float, int]], list[float], list[int]]:
         """Edges (start, end, score, id) by start, the best score before each place, and the edge that reaches it.
@@ -96,27 +134,34 @@ class Lattice:
                 edges.append((i, i + 1, unknown, -1))
         return edges, score, back
 
-    def _spell(self, seg: str, path: list[tuple[int, int, float, int]]) -> bytes:
+    def _spell(self, seg: str, path: list[tuple[int, int, float, int]]) -> list[int]:
         if all(e[3] >= 0 for e in path):
-            return array("i", [e[3] for e in path]).tobytes()
+            return [e[3] for e in path]
         out: list[int] = []
         for i, j, _, piece in path:
             out += [piece] if piece >= 0 else [self.byte_ids[b] for b in seg[i:j].encode("utf-8", "surrogatepass")]
-        return array("i", out).tobytes()
+        return out
 
-    def one_best(self, seg: str) -> tuple[float, float, bytes]:
-        """Score, gap to the second best path (infinite if there is none) and ids of the best path."""
-        found = self.best.get(seg)
-        if found is None:
-            edges, score, back = self._edges(seg)
-            n = j = len(seg)
-            path = []
-            while j:
-                path.append(back[j])
-                j = edges[back[j]][0]
+    def _learn(self, seg: str, score: float, gap: float, ids: list[int]) -> None:
+        self.known[seg] = len(self.known)
+        self.score.append(score)
+        self.gap.append(gap)
+        self.exact.append(b"".join([self.raw[i] for i in ids]) == seg.encode("utf-8", "surrogatepass"))
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+
+    def one_best(self, seg: str) -> None:
+        """Work out a segment's best path and the gap to its second best one."""
+        edges, score, back = self._edges(seg)
+        n = j = len(seg)
+        path = []
+        while j:
+            path.append(back[j])
+            j = edges[back[j]][0]
+        second = -np.inf
+        if len(edges) > len(path):
             on_path = set(path)
             rest = [-np.inf] * n + [0.0]
-            second = -np.inf
             for k in range(len(edges) - 1, -1, -1):
                 i, j, s, _ = edges[k]
                 s += rest[j]
@@ -124,12 +169,90 @@ class Lattice:
                     rest[i] = s
                 if score[i] + s > second and k not in on_path:
                     second = score[i] + s
-            if len(self.best) >= MEMORY:
-                self.best.clear()
-            found = self.best[seg] = (score[n], score[n] - second, self._spell(seg, [edges[k] for k in reversed(path)]))
-        return found
+        self._learn(seg, score[n], score[n] - second, self._spell(seg, [edges[k] for k in reversed(path)]))
 
-    def n_best_paths(self, seg: str) -> list[tuple[float, bytes]]:
+    def all_best(self, segs: list[str]) -> None:
+        """one_best of many segments at once, place by place; of long ones, one by one."""
+        for seg in segs:
+            if len(seg) > TOGETHER:
+                self.one_best(seg)
+        segs = [seg for seg in segs if len(seg) <= TOGETHER]
+        if not segs:
+            return
+        size = np.fromiter(map(len, segs), np.int64, len(segs))
+        head = np.concatenate([[0], np.cumsum(size + 1)])  # each segment is followed by one place more, its end
+        text = np.frombuffer("\n".join([*segs, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letter = np.minimum(np.searchsorted(self.letters, text), max(len(self.letters) - 1, 0))
+        letter = np.where((self.letters[letter] == text) if len(self.letters) else False, letter, -1)
+        inside = np.ones(len(text), dtype=bool)
+        inside[head[1:] - 1] = False
+        letter[~inside] = -1
+
+        place, node, found = np.flatnonzero(inside), np.zeros(int(size.sum()), dtype=np.int64), []
+        single = np.zeros(len(text), dtype=bool)  # places whose character is a piece
+        step = 0
+        while len(place):
+            c = letter[place + step]
+            key = node * len(self.letters) + c
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            on = (c >= 0) & (self.keys[at] == key)
+            place, at = place[on], at[on]
+            node = self.to[at]
+            whole = self.piece[at] >= 0
+            found.append((place[whole], np.full(int(whole.sum()), step + 1), self.piece_score[at[whole]], self.piece[at[whole]]))
+            step += 1
+            if step == 1:
+                single[place[whole]] = True
+        rest = np.flatnonzero(inside & ~single)
+        found.append((rest, np.ones(len(rest), dtype=np.int64), np.full(len(rest), self.unknown), np.full(len(rest), -1)))
+        start, long, s, piece = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((long, start))
+        start, s, piece = start[order], s[order], piece[order]
+        end = start + long[order]
+        own = np.searchsorted(head, start, "right") - 1
+        begin, stop = start - head[own], end - head[own]
+
+        # edges from one place of each segment end at different places, so plain assignment will do
+        score, back = np.full(len(text), -np.inf), np.zeros(len(text), dtype=np.int64)
+        score[head[:-1]] = 0.0
+        for e in _by(begin):
+            new = score[start[e]] + s[e]
+            e, new = e[better := new > score[end[e]]], new[better]
+            score[end[e]], back[end[e]] = new, e
+        rest = np.full(len(text), -np.inf)
+        rest[head[1:] - 1] = 0.0
+        for e in reversed(_by(stop)):
+            rest[start[e]] = np.maximum(rest[start[e]], s[e] + rest[end[e]])
+        path, now = np.zeros(len(start), dtype=bool), head[1:] - 1
+        while len(now := now[now > head[np.searchsorted(head, now, "right") - 1]]):
+            path[back[now]] = True
+            now = start[back[now]]
+        through = np.where(path, -np.inf, score[start] + s + rest[end])
+        second = np.maximum.reduceat(through, np.searchsorted(own, np.arange(len(segs))))
+        best = score[head[1:] - 1]
+        gap = np.where(np.isfinite(second), best - second, np.inf)
+        spelled = np.zeros(len(segs), dtype=bool)  # with a character in bytes; these are few
+        spelled[own[path & (piece < 0)]] = True
+        for i in np.flatnonzero(spelled).tolist():
+            k = np.arange(np.searchsorted(own, i), np.searchsorted(own, i, "right"))
+            k = k[path[k]]
+            self._learn(segs[i], float(best[i]), float(gap[i]), self._spell(segs[i], list(zip(begin[k].tolist(), stop[k].tolist(), s[k].tolist(), piece[k].tolist()))))
+        path &= ~spelled[own]
+        segs, ids, several = [seg for seg, odd in zip(segs, spelled.tolist()) if not odd], piece[path], np.bincount(own[path], minlength=len(spelled))[~spelled]
+        if not segs:
+            return
+        raw = [seg.encode("utf-8", "surrogatepass") for seg in segs]
+        pieces = [self.raw[i] for i in ids.tolist()]
+        exact = np.add.reduceat(np.fromiter(map(len, pieces), np.int64, len(pieces)), np.concatenate([[0], np.cumsum(several)[:-1]])) == np.fromiter(map(len, raw), np.int64, len(raw))
+        exact &= b"".join(pieces) == b"".join(raw)
+        self.known.update(zip(segs, itertools.count(len(self.known))))
+        self.score.frombytes(best[~spelled].tobytes())
+        self.gap.frombytes(gap[~spelled].tobytes())
+        self.exact.frombytes(exact.astype(np.int8).tobytes())
+        self.ends.frombytes((np.cumsum(several) + len(self.flat)).astype(np.int64).tobytes())
+        self.flat.frombytes(ids.astype(np.int32).tobytes())
+
+    def n_best_paths(self, seg: str) -> list[tuple[float, np.ndarray]]:
         """The n_best paths of a segment by score: A-star from its end, guided by the forward scores.
 
         Of equal totals the hypothesis nearest the start is taken first, so ties do not multiply the agenda.
@@ -150,91 +273,151 @@ class Lattice:
                     while path:
                         steps.append(path[0])
                         path = path[1]
-                    found.append((tail, self._spell(seg, steps)))
+                    found.append((tail, np.array(self._spell(seg, steps), dtype=np.int32)))
                     continue
                 for e in ends[j]:
                     heapq.heappush(agenda, (-(score[e[0]] + e[2] + tail), e[0], next(tick), tail + e[2], (e, path)))
-            if len(self.lists) >= MEMORY // 10:
-                self.lists.clear()
             self.lists[seg] = found
         return found
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool, list[tuple[float, list[tuple[int, int, np.ndarray]]]]]]:
+        """For each text: the best ids, whether they spell the text, and its n_best segmentations, best first, as score and
+        changes (from, to, ids) of the best ids. The texts' segments are looked up together."""
+        if len(self.known) > MEMORY or len(self.lists) > MEMORY // 10:
+            self._forget()
+        found = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        new = [seg for seg in dict.fromkeys(itertools.chain.from_iterable(found)) if seg not in self.known]
+        for lo in range(0, len(new), BUNCH):
+            self.all_best(new[lo:lo + BUNCH])
+        idx = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(at[-1]))
+        ends, flat = np.frombuffer(self.ends, np.int64).copy(), np.frombuffer(self.flat or b"", np.int32).copy()
+        score, gap, exact = np.frombuffer(self.score or b"")[idx], np.frombuffer(self.gap or b"")[idx], np.frombuffer(self.exact or b"", np.int8)[idx]
+        long = ends[idx + 1] - ends[idx]
+        to = np.concatenate([[0], np.cumsum(long)])  # in the ids of all texts
+        ids = flat[np.repeat(ends[idx] - to[:-1], long) + np.arange(to[-1])]
+        full = np.flatnonzero(sizes)
+        total, same = np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
+        if len(full):
+            total[full] = np.add.reduceat(score, at[full])
+            same[full] = np.add.reduceat(exact.astype(np.int64), at[full]) == sizes[full]
+        # only the n_best - 1 segments with the smallest gaps can differ from the best path
+        order = np.lexsort((gap, np.repeat(np.arange(len(texts)), sizes)))
+        for t in range(len(texts)):
+            lo, hi = at[t], at[t + 1]
+            loose = [i for i in order[lo:min(hi, lo + self.n_best - 1)].tolist() if gap[i] < np.inf]
+            lists = [self.n_best_paths(found[t][i - lo]) for i in loose]
+            ranks = sorted((-sum(l[r][0] for l, r in zip(lists, pick)), pick) for pick in itertools.product(*[range(len(l)) for l in lists]) if sum(pick) < self.n_best)
+            base = total[t] - sum(score[i] for i in loose)
+            zero = to[lo]
+            ways = [(float(base - minus), [(int(to[i] - zero), int(to[i + 1] - zero), l[r][1]) for i, l, r in sorted(zip(loose, lists, pick), key=lambda x: x[0]) if r])
+                    for minus, pick in ranks[:self.n_best]]
+            yield ids[zero:to[hi]], bool(same[t]), ways
+
     def encode(self, text: str) -> list[tuple[float, np.ndarray]]:
         """The n_best segmentations of a text as (score, ids), best first; one empty one for the empty text."""
-        if not text:
-            return [(0.0, np.zeros(0, np.int32))]
-        segs = _SEGMENT.findall(" " + text)
-        seen, work = self.best.get, self.one_best
-        known = [seen(s) or work(s) for s in segs]
-        score, gaps, parts = map(list, zip(*known))
-        loose = [i for i in heapq.nsmallest(self.n_best - 1, range(len(segs)), key=gaps.__getitem__) if gaps[i] < np.inf]
-        lists = [self.n_best_paths(segs[i]) for i in loose]
-        out = []
-        ranks = sorted((-sum(l[r][0] for l, r in zip(lists, pick)), pick) for pick in itertools.product(*[range(len(l)) for l in lists]) if sum(pick) < self.n_best)
-        base = sum(score) - sum(score[i] for i in loose)
-        for minus, pick in ranks[:self.n_best]:
-            for i, l, r in zip(loose, lists, pick):
-                parts[i] = l[r][1]
-            out.append((base - minus, np.frombuffer(b"".join(parts), np.int32)))
-        return out
+        (ids, _, ways), = self.encode_all([text])
+        return [(score, changed(ids, changes)) for score, changes in ways]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids; exact for the ids of encode()."""
-        return b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "surrogatepass")[1:]
+        """The text of ids; exact for the ids of encode(). Bytes that are no UTF-8 become U+FFFD."""
+        raw = b"".join(map(self.raw.__getitem__, ids.tolist()))
+        try:
+            text = raw.decode("utf-8", "surrogatepass")
+        except UnicodeDecodeError:
+            text = raw.decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+
+def changed(ids: np.ndarray, changes: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
+    """ids with the stretches from:to replaced."""
+    parts, at = [], 0
+    for lo, hi, other in changes:
+        parts += [ids[at:lo], other]
+        at = hi
+    return np.concatenate([*parts, ids[at:]]) if parts else ids
 
 
 _HELD: dict[str, Lattice] = {}
 
 
-def _encode(name: str, shared, n_best: int, keep: list[str], with_ids: bool):
+def _lattice(name: str, shared, n_best: int = N_BEST) -> Lattice:
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = Lattice(shared.value, n_best)
+    return _HELD[name]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
+
+
+def _encode(name: str, shared, n_best: int, keep: list[str], with_ids: bool, with_ways: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = _lattice(name, shared, n_best)
+        for batch in (part for whole in batches for part in slices(whole, SLICE)):
+            best, same, ways = map(list, zip(*lattice.encode_all(batch.column("text").to_pylist())))
+            arrays = [pa.array([len(x) for x in best], pa.int64()), pa.array([w[0][0] for w in ways], pa.float64()), pa.array([[s for s, _ in w] for w in ways], pa.list_(pa.float64())),
+                      pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in best], pa.string()), pa.array(same, pa.bool_())]
+            names = ["sp_n_pieces", "sp_score", "sp_scores", "sp_ids_sha256", "sp_round_trip"]
+            if with_ids:
+                arrays.append(_lists(best))
+                names.append("sp_ids")
+            if with_ways:
+                off = np.concatenate([[0], np.cumsum([len(w) for w in ways])]).astype(np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(off), _lists([changed(x, c) for x, w in zip(best, ways) for _, c in w])))
+                names.append("sp_nbest_ids")
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, names=[*keep, *names])
+        give_back()
+    return run
+
+
+def _decode(name: str, shared, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _HELD:
-            _HELD.clear()
-            _HELD[name] = Lattice(shared.value, n_best)
-        lattice = _HELD[name]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                cols: dict[str, list] = {"n": [], "score": [], "scores": [], "sha": [], "same": [], "ids": []}
-                for text in batch.column("text").to_pylist():
-                    best = lattice.encode(text or "")
-                    ids = best[0][1]
-                    cols["n"].append(len(ids))
-                    cols["score"].append(best[0][0])
-                    cols["scores"].append([s for s, _ in best])
-                    cols["sha"].append(hashlib.sha256(ids.tobytes()).hexdigest())
-                    cols["same"].append(lattice.decode(ids) == (text or ""))
-                    if with_ids:
-                        cols["ids"].append(ids)
-                arrays = [pa.array(cols["n"], pa.int64()), pa.array(cols["score"], pa.float64()), pa.array(cols["scores"], pa.list_(pa.float64())),
-                          pa.array(cols["sha"], pa.string()), pa.array(cols["same"], pa.bool_())]
-                names = ["sp_n_pieces", "sp_score", "sp_scores", "sp_ids_sha256", "sp_round_trip"]
-                if with_ids:
-                    arrays.append(pa.array(cols["ids"], pa.list_(pa.int32())))
-                    names.append("sp_ids")
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + arrays, names=[*keep, *names])
+        lattice = _lattice(name, shared)
+        for batch in batches:
+            texts = [None if x is None else lattice.decode(np.array(x, dtype=np.int64)) for x in batch.column("sp_ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(texts, pa.string())], names=[*keep, "sp_text"])
     return run
 
 
-def encode_texts(docs: DataFrame, keep: list[str] | None = None, n_best: int = N_BEST, model_file: str = MODEL_FILE, with_ids: bool = True) -> DataFrame:
+def _fields(df: DataFrame, columns: list[str]) -> list[str]:
+    return [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns]
+
+
+def encode_texts(docs: DataFrame, keep: list[str] | None = None, n_best: int = N_BEST, model_file: str = MODEL_FILE, with_ids: bool = True, with_nbest_ids: bool = False) -> DataFrame:
     """keep (default doc_id) of every row with sp_n_pieces, sp_score, sp_scores (of the n_best segmentations, best
     first; fewer if there are fewer), sp_ids_sha256 (of the best one's ids as little-endian int32), sp_round_trip
-    (decoding gives the text back) and, with_ids, sp_ids.
+    (decoding gives the text back), with_ids sp_ids, and with_nbest_ids sp_nbest_ids (ids of all n_best, best first).
 
     Whole texts are encoded; null is the empty text, which has one empty segmentation. A space mark in a text is
-    spelled in bytes, so that decoding is exact. Ties go to the path found first, always the same. No shuffle; the
-    model file is read by the driver, and its pieces, a bounded list, are broadcast.
+    spelled in bytes, so that decoding is exact. Ties go to the path found first, always the same. Repeated rows are
+    each encoded. No shuffle; the model file is read by the driver, and its pieces, a bounded list, are broadcast.
     """
     keep = ["doc_id"] if keep is None else keep
     shared = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
-    fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
-    fields += ["sp_n_pieces long", "sp_score double", "sp_scores array<double>", "sp_ids_sha256 string", "sp_round_trip boolean"]
+    fields = _fields(docs, keep) + ["sp_n_pieces long", "sp_score double", "sp_scores array<double>", "sp_ids_sha256 string", "sp_round_trip boolean"]
+    fields += ["sp_ids array<int>"] * with_ids + ["sp_nbest_ids array<array<int>>"] * with_nbest_ids
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    return rows.mapInArrow(_encode(f"{model_file}:{n_best}", shared, n_best, keep, with_ids), ", ".join(fields + ["sp_ids array<int>"] * with_ids))
+    return rows.mapInArrow(_encode(f"{model_file}:{n_best}", shared, n_best, keep, with_ids, with_nbest_ids), ", ".join(fields))
+
+
+def decode_texts(encoded: DataFrame, keep: list[str] | None = None, model_file: str = MODEL_FILE) -> DataFrame:
+    """keep (default doc_id) of every row with sp_text, the text of its ids in sp_ids; null ids have null text.
+
+    Exact for ids of encode_texts. Control and unknown pieces are empty, bytes that are no UTF-8 become U+FFFD, and an
+    id that the model lacks is an error.
+    """
+    keep = ["doc_id"] if keep is None else keep
+    shared = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_file))
+    rows = encoded.select(*dict.fromkeys([*keep, "sp_ids"]))
+    return rows.mapInArrow(_decode(f"{model_file}:{N_BEST}", shared, keep), ", ".join(_fields(encoded, keep) + ["sp_text string"]))
 
 
 def op3_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_texts(documents(spark, sf_dir), with_ids=False)
     return out.select("doc_id", F.col("sp_n_pieces").alias("n_pieces"), F.col("sp_score").alias("score"),
-                      F.array_join(F.transform("sp_scores", lambda s: s.cast("long").cast("string")), ",").alias("nbest_scores"),
+                      F.array_join(F.col("sp_scores").cast("array<string>"), ",").alias("nbest_scores"),
                       F.col("sp_ids_sha256").alias("ids_sha256"), F.col("sp_round_trip").alias("round_trip"))
