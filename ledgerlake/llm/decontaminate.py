@@ -11,16 +11,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import discard, documents, materialise
+from ._words import slices, tidy
 
-#: Characters of window text in one automaton, and so in one broadcast. A larger benchmark takes several, one after
-#: another over each Arrow batch; an executor never holds more than one.
+#: Characters of window text in one automaton; the broadcast is a tenth of it. A larger benchmark takes several passes.
 BLOCK_CHARS = 8_000_000
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 #: A-Z to lower case; every other ASCII character outside words to a space.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _FOLD = {c: c + 32 for c in range(65, 91)}
 _HELD: dict[str, ahocorasick.Automaton] = {}
+#: Automata that this process has built.
+BUILT: list[str] = []
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -40,13 +42,15 @@ def windows_of(words: list[bytes], window: int) -> Iterator[tuple[str, int]]:
         yield _key(words[i:i + window]), window
 
 
-def _blocks(items: DataFrame, window: int, block_chars: int) -> Iterator[list[tuple[str, int, str]]]:
-    block: list[tuple[str, int, str]] = []
+def _blocks(items: DataFrame, window: int, block_chars: int) -> Iterator[list[tuple[str, bytes]]]:
+    """Items as (id, words), in blocks of about block_chars characters of window text."""
+    block: list[tuple[str, bytes]] = []
     size = 0
     for row in items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).where("item is not null and text is not null").toLocalIterator():
-        for key, n in windows_of(normal_words(row["text"]), window):
-            block.append((key, n, row["item"]))
-            size += len(key)
+        words = b" ".join(normal_words(row["text"]))
+        if words:
+            block.append((row["item"], words))
+            size += len(words) * window
             if size >= block_chars:
                 yield block
                 block, size = [], 0
@@ -54,55 +58,70 @@ def _blocks(items: DataFrame, window: int, block_chars: int) -> Iterator[list[tu
         yield block
 
 
-def _automaton(name: str, block: list[tuple[str, int, str]]) -> ahocorasick.Automaton:
+def _automaton(name: str, block: list[tuple[str, bytes]], window: int) -> ahocorasick.Automaton:
     if name not in _HELD:
         _HELD.clear()
         a = ahocorasick.Automaton()
         owners: dict[str, tuple[int, set[str]]] = {}
-        for key, n, item in block:
-            owners.setdefault(key, (n, set()))[1].add(item)
+        for item, words in block:
+            for key, n in windows_of(words.split(), window):
+                owners.setdefault(key, (n, set()))[1].add(item)
         for key, value in owners.items():
             a.add_word(key, value)
         a.make_automaton()
         _HELD[name] = a
+        BUILT.append(name)
     return _HELD[name]
 
 
-def _scan(names: list[str], shared: list, extra: list[str]):
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(name: str | None, shared, window: int, keep: list[str], carried: bool, last: bool):
+    """Search texts for one block's windows. carried: earlier blocks' findings come along; last: findings become offsets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
+            a = _automaton(name, shared.value, window) if name else None
             texts = batch.column("text").to_pylist()
             keys = [_key(normal_words(t)) for t in texts]
-            hits: list[list[tuple[int, int]]] = [[] for _ in texts]
-            items: list[set[str]] = [set() for _ in texts]
-            for name, block in zip(names, shared):
-                a = _automaton(name, block.value)
-                for i, key in enumerate(keys):
-                    at = spaces = 0
-                    for end, (n, owners) in a.iter(key):
-                        spaces += key.count(" ", at, end)
-                        at = end
-                        hits[i].append((spaces - n, spaces))
-                        items[i] |= owners
+            hits = [[(x["lo"], x["hi"]) for x in r] for r in batch.column("dc_hits").to_pylist()] if carried else [[] for _ in texts]
+            items = [set(r) for r in batch.column("dc_items").to_pylist()] if carried else [set() for _ in texts]
+            for i, key in enumerate(keys if a else []):
+                at = spaces = 0
+                for end, (n, owners) in a.iter(key):
+                    spaces += key.count(" ", at, end)
+                    at = end
+                    hits[i].append((spaces - n, spaces))
+                    items[i] |= owners
+            merged_all = [_merged(found) for found in hits]
+            kept = [batch.column(c) for c in keep]
+            owners_of = pa.array([sorted(x) for x in items], pa.list_(pa.string()))
+            if not last:
+                found = pa.array([[{"lo": lo, "hi": hi} for lo, hi in m] for m in merged_all], pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))
+                own = [] if "text" in keep else [batch.column("text")]
+                yield pa.RecordBatch.from_arrays([*kept, *own, found, owners_of], names=[*keep, *["text"] * len(own), "dc_hits", "dc_items"])
+                continue
             n_hit, spans = [], []
-            for i, found in enumerate(hits):
-                merged: list[list[int]] = []
-                for lo, hi in sorted(found):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(hi, merged[-1][1])
-                    else:
-                        merged.append([lo, hi])
+            for text, merged in zip(texts, merged_all):
                 n_hit.append(sum(hi - lo for lo, hi in merged))
-                places = [m.span() for m in WORD.finditer(texts[i].translate(_FOLD))] if merged else []
+                places = [m.span() for m in WORD.finditer(text.translate(_FOLD))] if merged else []
                 spans.append([{"start": places[lo][0], "end": places[hi - 1][1]} for lo, hi in merged])
             n_words = [key.count(" ") - 1 if len(key) > 2 else 0 for key in keys]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in extra] + [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
-                 pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-                names=[*extra, "dc_n_words", "dc_n_hit", "dc_items", "dc_spans"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), owners_of, pa.array(spans, _SPANS)],
+                                             names=[*keep, "dc_n_words", "dc_n_hit", "dc_items", "dc_spans"])
     return run
 
 
+def _merged(found: list[tuple[int, int]]) -> list[list[int]]:
+    merged: list[list[int]] = []
+    for lo, hi in sorted(found):
+        if merged and lo <= merged[-1][1]:
+            merged[-1][1] = max(hi, merged[-1][1])
+        else:
+            merged.append([lo, hi])
+    return merged
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, block_chars: int = BLOCK_CHARS, keep: list[str] | None = None) -> DataFrame:
     """Occurrences of benchmark windows in whole texts, in one pass without a shuffle.
 
@@ -111,18 +130,28 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = 10, block_chars:
     occurrences as code-point offsets of the original text). A window is `window` consecutive words of an item; an
     item of fewer words, but not none, is one window. Null texts have no words; items with a null id or text are
     ignored; repeated items count once; every repeated document is reported. The prefix dc_ keeps names apart.
+
+    A benchmark of more than block_chars characters of window text takes one pass for each block of it, with the
+    findings so far carried along in a written table, so that a worker builds each automaton once and holds one.
     """
     spark: SparkSession = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
-    names, shared = [], []
-    for block in _blocks(items, window, block_chars):
-        value = spark.sparkContext.broadcast(block)
-        names.append(uuid.uuid4().hex)
-        shared.append(value)
     rows = docs.select(*keep, F.col("text").cast("string").alias("text")) if "text" not in keep else docs.select(*keep)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields]
-    schema = ", ".join([*fields, "dc_n_words long, dc_n_hit long, dc_items array<string>, dc_spans array<struct<start:long,end:long>>"])
-    return rows.mapInArrow(_scan(names, shared, keep), schema)
+    found = "dc_n_words long, dc_n_hit long, dc_items array<string>, dc_spans array<struct<start:long,end:long>>"
+    state = ["text string"] * ("text" not in keep) + ["dc_hits array<struct<lo:long,hi:long>>", "dc_items array<string>"]
+    blocks = _blocks(items, window, block_chars)
+    block, before = next(blocks, None), None
+    while True:
+        after = next(blocks, None)
+        shared = None if block is None else spark.sparkContext.broadcast(block)
+        scan = tidy(_scan(None if block is None else uuid.uuid4().hex, shared, window, keep, before is not None, after is None))
+        if after is None:
+            return rows.mapInArrow(scan, ", ".join([*fields, found]))
+        rows = materialise(rows.mapInArrow(scan, ", ".join([*fields, *state])), "leaks")
+        if before is not None:
+            discard(before)
+        block, before = after, rows
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
