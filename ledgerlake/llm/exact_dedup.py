@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, documents, materialise, shared_dir
+from ._common import SPACE_CLASS, delete, documents, materialise, shared_dir
 
 #: Buckets of a new index; fixed for its life. Take about one per 200 MB of digests expected.
 BUCKETS = 256
+_MARK = "_buckets-"
 
 
 class DigestIndex:
@@ -20,12 +21,37 @@ class DigestIndex:
     so a lost executor repeats its task and a failed append leaves no rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        """Open the index at path, or begin one with so many buckets (BUCKETS if None); another number than the one that
+        an index has is an error, as its digests would be looked for in the wrong files."""
+        self.spark, self.path, self.buckets = spark, path, self._agree(spark, path, buckets)
+        buckets = self.buckets
         self.table = f"ledgerlake_digests_{uuid.uuid4().hex}"
         spark.sql(f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
 
+    @staticmethod
+    def _agree(spark: SparkSession, path: str, buckets: int | None) -> int:
+        """The number of buckets, which the folder keeps as the name of an empty file."""
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+        found = next((int(x.removeprefix(_MARK)) for x in names if x.startswith(_MARK)), None)
+        if found is None:
+            if names:
+                raise ValueError(f"{path} holds files, but not the number of buckets of an index")
+            found = BUCKETS if buckets is None else buckets
+            fs.create(spark._jvm.org.apache.hadoop.fs.Path(at, f"{_MARK}{found}"), False).close()
+        if buckets not in (None, found):
+            raise ValueError(f"the index at {path} has {found} buckets, not {buckets}")
+        return found
+
+    def close(self, drop: bool = False) -> None:
+        """Forget the index in this session's catalog; with drop, delete its files too."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if drop:
+            delete(self.spark, self.path)
+
     def bucketed(self) -> DataFrame:
         """The index as a bucketed relation: joins on digest need no exchange on its side."""
         return self.spark.table(self.table)
@@ -65,7 +91,8 @@ def dedup_batch(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = DigestIndex(spark, f"{shared_dir(spark)}/ledgerlake/digest-index-{uuid.uuid4().hex}")
-    out = dedup_batch(documents(spark, sf_dir), index)
+    out = dedup_batch(documents(spark, sf_dir), index)  # from here on it reads written tables, not the index
+    index.close(drop=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
