@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,17 +23,33 @@ class ChatTemplate:
         ("start", "system"): "system", ("start", "user"): "user", ("system", "user"): "user",
         ("user", "assistant"): "assistant", ("assistant", "user"): "user"})
 
+    def __post_init__(self):
+        for mark in (self.open_mark, self.close_mark):
+            if len(mark) < 2 or "\\" in mark[:2]:
+                raise ValueError(f"mark {mark!r} must begin with two characters other than a backslash")
+        if not re.search("[^A-Za-z0-9.*_+%-]", self.head_end):
+            raise ValueError("head_end must hold a character that a percent-encoded role can't hold")
+
+    def before_mark(self) -> str:
+        r"""A pattern of the place between the first character of a mark and its second one, any number of `\` between them.
+
+        If a mark can begin inside itself, the end of the text counts as its second character.
+        """
+        quoted = lambda c: r"\Q" + c + r"\E"
+        pairs = sorted({(m[0], m[1], any(m[k:] == m[:-k] for k in range(1, len(m)))) for m in (self.open_mark, self.close_mark)})
+        return "|".join(rf"(?<={quoted(a)})(?=\\*(?:{quoted(b)}{r'|' + chr(92) + 'z' if again else ''}))" for a, b, again in pairs)
+
 
 CHAT = ChatTemplate()
 
 
-def escape(text: Column) -> Column:
-    r"""Make control marks impossible: `<`, any number of `\`, `|` gets one more `\`."""
-    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+def escape(text: Column, template: ChatTemplate = CHAT) -> Column:
+    r"""Make control marks impossible: the first two characters of a mark, with any number of `\` between, get one more `\`."""
+    return F.regexp_replace(text, template.before_mark(), r"\\")
 
 
-def unescape(text: Column) -> Column:
-    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+def unescape(text: Column, template: ChatTemplate = CHAT) -> Column:
+    return F.regexp_replace(text, "(?:" + template.before_mark() + r")\\", "")
 
 
 def format_conversations(turns: DataFrame, template: ChatTemplate = CHAT) -> DataFrame:
@@ -52,7 +69,7 @@ def format_conversations(turns: DataFrame, template: ChatTemplate = CHAT) -> Dat
     seg = lambda c, loss: F.struct(c.alias("text"), loss.alias("loss"))
     segments = F.flatten(F.transform("ts", lambda t: F.array(
         seg(F.concat(F.lit(template.open_mark), F.url_encode(t["role"]), F.lit(template.head_end)), F.lit(False)),
-        seg(escape(t["text"]), t["role"].isin(*template.loss_roles)),
+        seg(escape(t["text"], template), t["role"].isin(*template.loss_roles)),
         seg(F.lit(template.close_mark), F.lit(False)))))
     return conv.select("conv_id", state.alias("end_state"), state.isin(*template.final).alias("valid"), segments.alias("segments")).withColumn(
         "formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
@@ -67,7 +84,7 @@ def parse_formatted(formatted: Column, template: ChatTemplate = CHAT) -> Column:
     def one(x: Column) -> Column:
         at = F.locate(template.head_end, x)
         return F.struct(F.url_decode(F.substring(x, F.lit(skip + 1), at - skip - 1)).alias("role"),
-                        unescape(F.substring(x, at + len(template.head_end), F.length(x))).alias("text"))
+                        unescape(F.substring(x, at + len(template.head_end), F.length(x)), template).alias("text"))
     return F.transform(heads, one)
 
 
