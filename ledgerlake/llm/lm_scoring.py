@@ -239,7 +239,7 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
     train_tokens, base_score (add-0.1 unigram log10 probability), score (the model's log10 probability). Tokens are
     words other than ASCII white space, A-Z lower-cased, then one end. Null, empty and blank texts are one end token;
     a null held_out is false; repeated rows count as often as they occur. Words are compared by 64-bit hashes.
-    If no text is for training, every estimate but the uniform one is 0 and scores are 0.
+    If no text is for training, only the uniform estimate is left, which is 1 then, and scores are 0.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
@@ -263,6 +263,8 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
     # At most a cell for each bucket and tuple of half-octave steps, however large the corpus.
     cells = joined.mapInArrow(_statistics(order, ranges, float(n)), "cell long, places long").groupBy("cell").agg(F.sum("places").alias("places")).toPandas()
     weights = fit_weights(cells["cell"].to_numpy(np.int64), cells["places"].to_numpy(np.int64), order, 1.0 / (kinds + 1))
+    if not n:
+        weights[:] = np.eye(order + 1)[0]
     return joined.mapInArrow(_score(order, ranges, n, kinds, weights),
                              "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
