@@ -62,6 +62,53 @@ def test_lm_is_a_distribution_and_blocks_do_not_matter(docs):
     assert all(abs(one[i] - many[i]) < 1e-9 for i in one)
 
 
+def test_lm_score_matches_brute_force_and_sums_to_one(docs):
+    """Counts, deleted counts and mixture by dictionaries; the probabilities of all words after a context sum to 1."""
+    rows = [(i, " ".join(random.Random(i).choices("abcde", k=random.Random(i).randint(0, 9)))) for i in range(60)]
+    train = [words(t) for i, t in rows if i % 4]
+    grams = [collections.Counter() for _ in range(3)]
+    place = lambda w: [tuple((["^"] * 2 + w + ["$"])[j - k:j + 1]) for j in range(2, len(w) + 3) for k in (2,)]
+    trigrams = [g for w in train for g in place(w)]
+    for g in trigrams:
+        for k in range(3):
+            grams[k][g[2 - k:]] += 1
+    starts = len(train)
+    n, kinds = sum(grams[0].values()), len(grams[0])
+
+    def parts(g, deleted):
+        count = lambda x: starts if x[-1] == "^" else grams[len(x) - 1][x]
+        contexts = [count(g[2 - k:2]) - deleted for k in (1, 2)]
+        cells = [grams[k][g[2 - k:]] - deleted for k in range(3)]
+        ps = [a / c if c > 0 else 0.0 for a, c in zip(cells, [n - deleted, *contexts])]
+        bucket = 0
+        for k, c in enumerate(contexts, 1):
+            bucket = k * lm_scoring.OCTAVES + int(math.log2(c)) if c > 0 else bucket
+        return bucket, ps
+    tally = collections.Counter()
+    for g in trigrams:
+        cell, ps = parts(g, 1)
+        for p in ps:
+            cell = cell << 8 | (min(round(-math.log2(p) * lm_scoring.STEPS), lm_scoring.ZERO - 1) if p > 0 else lm_scoring.ZERO)
+        tally[cell] += 1
+    cells = sorted(tally)
+    weights = lm_scoring.fit_weights(np.array(cells), np.array([tally[c] for c in cells]), 3, 1 / (kinds + 1))
+
+    def prob(g):
+        bucket, ps = parts(g, 0)
+        return weights[bucket] @ np.array([1 / (kinds + 1), *ps])
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.deleted_interpolation(docs(rows), F.col("doc_id") % 4 == 0, order=3, block=70).collect()}
+    for i, t in rows:
+        assert abs(got[i] - sum(math.log10(prob(g)) for g in place(words(t)))) < 1e-9
+    for context in (("^", "^"), ("a", "b"), ("^", "c"), ("?", "a"), ("?", "?")):
+        assert abs(sum(prob((*context, w)) for w in [*"abcde$", "unseen"]) - 1) < 1e-9
+
+
+def test_lm_without_training_texts(docs):
+    got = lm_scoring.deleted_interpolation(docs([(1, "a b"), (2, None)]), F.lit(True)).collect()
+    assert [(r["n_tokens"], r["train_tokens"], r["score"]) for r in sorted(got)] == [(3, 0, 0.0), (1, 0, 0.0)]
+    assert lm_scoring.deleted_interpolation(docs([]), F.lit(False)).count() == 0
+
+
 def test_lm_query_uses_trigrams(spark, docs, tmp_path):
     rows = [(i, " ".join(random.Random(i).choices(["a b c", "d b e", "a b c d b e"], k=9))) for i in range(60)]
     docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
@@ -82,7 +129,7 @@ def test_lm_weights_climb_and_sum_to_one():
 def test_decontaminate_offsets_blocks_and_odd_rows(spark, docs, odd):
     items = spark.createDataFrame([("7", "Alpha, BETA gamma!"), ("8", "one two three four five six seven eight nine ten eleven"), (None, "x y"), ("9", None), ("10", "...")], "item_id string, text string")
     rows = odd + [(20, "zz alpha - beta   GAMMA. alphabeta gamma"), (21, "é one two three four five six seven eight nine ten eleven twelve")]
-    for size in (8_000_000, 10):
+    for size in (8_000_000, 10, 3):
         got = {r["doc_id"]: r for r in decontaminate.find_leaks(docs(rows), items, block_chars=size).collect()}
         assert (got[20]["dc_n_words"], got[20]["dc_n_hit"], got[20]["dc_items"]) == (6, 3, ["7"]) and [tuple(s) for s in got[20]["dc_spans"]] == [(3, 23)]
         assert got[21]["dc_n_hit"] == 11 and got[21]["dc_items"] == ["8"]
@@ -91,6 +138,20 @@ def test_decontaminate_offsets_blocks_and_odd_rows(spark, docs, odd):
     assert decontaminate.find_leaks(docs(rows), items.limit(0)).agg(F.sum("dc_n_hit")).first()[0] == 0
 
 
+def test_decontaminate_builds_each_automaton_once():
+    import pyarrow as pa
+    blocks = [[(str(i), f"word{i} x y".encode())] for i in range(3)]
+    shared = [type("Shared", (), {"value": b})() for b in blocks]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["a word1 x Y", "word2 x y word0 x y"]})
+    at = len(decontaminate.BUILT)
+    for i, s in enumerate(shared):
+        run = decontaminate._scan(f"n{i}", s, 10, ["doc_id"], i > 0, i == 2)
+        out = list(run(iter([batch] * 4)))
+        assert len(out) == 4 and len(decontaminate.BUILT) == at + i + 1
+        batch = out[0]
+    assert batch.column("dc_items").to_pylist() == [["1"], ["0", "2"]] and batch.column("dc_n_hit").to_pylist() == [3, 6]
+
+
 # --- op3
 
 def test_nbest_matches_brute_force():
@@ -118,6 +179,30 @@ def test_nbest_matches_brute_force():
         assert lattice.decode(got[0][1]) == t
 
 
+def test_long_segments_take_the_same_paths():
+    lattice = sentencepiece_nbest.Lattice(sentencepiece_nbest.load_pieces())
+    rng = random.Random(8)
+    segs = list({" " + "".join(rng.choice(["a", "b", "tion", "é", "中", "▁", "zz", "1"]) for _ in range(rng.randint(1, 40))) for _ in range(500)})
+    lattice.all_best(segs)
+    together = [(lattice.score[i], lattice.gap[i], lattice.flat[lattice.ends[i]:lattice.ends[i + 1]]) for i in map(lattice.known.get, segs)]
+    lattice._forget()
+    for s in segs:
+        lattice.one_best(s)
+    assert together == [(lattice.score[i], lattice.gap[i], lattice.flat[lattice.ends[i]:lattice.ends[i + 1]]) for i in map(lattice.known.get, segs)]
+
+
+def test_decode_gives_texts_and_runners_up(docs, odd):
+    got = sentencepiece_nbest.encode_texts(docs(odd + [(50, "in the beginning there was a word")]), with_nbest_ids=True)
+    lattice = sentencepiece_nbest.Lattice(sentencepiece_nbest.load_pieces())
+    for r in got.where("doc_id = 50").collect():
+        assert len(r["sp_nbest_ids"]) == len(r["sp_scores"]) == 4 and r["sp_nbest_ids"][0] == r["sp_ids"] and len(set(map(tuple, r["sp_nbest_ids"]))) == 4
+        assert all(lattice.decode(np.array(x)) == "in the beginning there was a word" for x in r["sp_nbest_ids"])
+    back = sorted(((r["doc_id"], r["sp_text"]) for r in sentencepiece_nbest.decode_texts(got).collect() if r["doc_id"] != 50), key=str)
+    assert back == sorted(((i, t or "") for i, t in odd), key=str)
+    other = got.limit(1).select("doc_id", F.lit(None).cast("array<int>").alias("sp_ids"))
+    assert sentencepiece_nbest.decode_texts(other).first()["sp_text"] is None
+
+
 def test_encode_odd_rows(docs, odd):
     got = sentencepiece_nbest.encode_texts(docs(odd)).collect()
     assert len(got) == len(odd) and all(r["sp_round_trip"] for r in got) and all(r["sp_n_pieces"] == len(r["sp_ids"]) for r in got)
@@ -292,6 +377,11 @@ def test_digest_index_persists(spark, docs, odd, tmp_path):
     assert len(first) == 3 + len(odd) and all(not r["known"] for r in first)
     again = {r["doc_id"]: r for r in exact_dedup.dedup_batch(docs([(1, "q r"), (11, "new")]), exact_dedup.DigestIndex(spark, path, 4)).collect()}
     assert again[1]["known"] and again[1]["keep_id"] == 102 and not again[1]["kept"] and again[11]["kept"]
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        exact_dedup.DigestIndex(spark, path, 8)
+    assert exact_dedup.DigestIndex(spark, path).buckets == 4
+    with pytest.raises(ValueError, match="holds files"):
+        exact_dedup.DigestIndex(spark, f"file://{tmp_path}")
     plan = exact_dedup.DigestIndex(spark, path, 4).bucketed().hint("merge").join(docs([(1, "x")]).select(F.unhex(F.sha2("text", 256)).alias("digest")).hint("merge"), "digest", "left_anti")
     assert "Bucketed: true" in plan._jdf.queryExecution().explainString(plan.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert exact_dedup.dedup_batch(docs([]), exact_dedup.DigestIndex(spark, f"file://{tmp_path}/other", 4)).count() == 0
@@ -306,9 +396,10 @@ def test_lcs_and_blocks():
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, j in itertools.product(range(len(a)), range(len(b))):
             best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
-        found = html_text.shared_lines(a, b)
-        rest = iter(b)
-        assert len(found) == best[-1][-1] and all(a[i] in rest for i in sorted(found))
+        for cells in (1 << 26, 6):
+            found = html_text.shared_lines(a, b, cells)
+            rest = iter(b)
+            assert len(found) == best[-1][-1] and all(a[i] in rest for i in sorted(found))
     page = '<body><nav><p>menu</p></nav><article class="post"><header>h</header><h1>T &amp; U</h1><p>a\n b<br>c <i>d</i>e<p>f<div class="ad">x</div><script>"</p>"</script><section id="comments">no</section></article><p>tail<foo'
     assert html_text.blocks(page) == [(1, "T & U"), (1, "a b c de"), (1, "f"), (0, "tail")]
 
@@ -322,6 +413,27 @@ def test_pages_of_one_host_are_differenced(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_every_page_is_differenced(spark):
+    """Site lines inside articles go as well; an article that two pages share stays, and so do lines that few pages share."""
+    page = "<body><nav>menu</nav><article><p>Story {0}</p><p>Read more on our site</p><p>{1}</p></article><p>foot</p></body>"
+    rows = [(i, f"http://h.org/n/{i}", page.format(i, "License A" if i < 2 else f"Body {i}")) for i in range(8)] + [(8, "http://h.org/n/0b", page.format(0, "License A"))]
+    schema = "page_id long, url string, html string"
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, schema).withColumn("text", F.lit("x")).withColumn("gone", F.lit(1))).collect()}
+    assert got[0] == got[8] == "Story 0\nLicense A" and got[1] == "Story 1\nLicense A" and got[5] == "Story 5\nBody 5"
+    bare = "<div>Home | News | About</div><div>Story {0} text</div><div>More of {0}</div><div>Imprint</div>"
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame([(i, f"http://k.org/{i}", bare.format(i)) for i in range(6)], schema)).collect()}
+    assert all(got[i] == f"Story {i} text\nMore of {i}" for i in range(6))
+
+
+def test_very_long_pages_and_names_of_wrappers(spark):
+    lines = [f"line {i}" for i in range(30_000)]
+    rows = [(0, "http://a.org/0", "".join(f"<p>{x}" for x in lines)), (1, "http://a.org/1", "".join(f"<p>{x}" for x in lines[::2] + ["own"])), (2, "http://b.org/", "<p>" + "x " * 2_000_000)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "\n".join(lines[1::2]) and got[1] == "own" and len(got[2]) == 3_999_999
+    page = '<body><div><div class="has-sidebar"><article><p>Kept <math><mi>x</mi></math></p></article><div class="comments"><article><p>no</p></article></div></div></div></body>'
+    assert html_text.blocks(page) == [(1, "Kept x")]
+
+
 def test_generated_pages(spark, sf):
     src = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     for r in registry.QUERIES["op9_html_text"](spark, sf).collect():
@@ -344,6 +456,18 @@ def test_chat_round_trip_and_states(spark):
     assert chat_format.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chat_marks_of_other_templates(spark):
+    rng = random.Random(10)
+    for marks in (("[T]", "[/T]"), ("[[", "]]"), ("aa", "aab"), ("{%", "%}\n")):
+        template = chat_format.ChatTemplate(open_mark=marks[0], close_mark=marks[1])
+        rows = [(i, j, "user", "".join(rng.choice(["[", "T", "]", "/", "\\", "a", "b", "{", "%", "}", "\n", *marks]) for _ in range(9))) for i in range(40) for j in range(2)]
+        out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+        got = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in out.select("conv_id", chat_format.parse_formatted(F.col("formatted"), template).alias("turns")).collect()}
+        assert got == {i: [("user", t) for c, _, _, t in rows if c == i] for i in range(40)}, marks
+    with pytest.raises(ValueError):
+        chat_format.ChatTemplate(close_mark="x")
+
+
 # --- pipeline
 
 def test_pipeline_on_a_fixture(spark, sf):
