@@ -1,11 +1,15 @@
-"""A training-data pipeline over documents: five stages, each one operator of ledgerlake.llm."""
+"""A training-data pipeline over documents: five stages, each one operator of ledgerlake.llm.
+
+In every stage null text is the empty text, repeated rows are judged like any other row, an empty table gives an empty
+table, and extra columns of documents come along to the last stage, whatever their names.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm._common import crc_mod, documents, materialise
+from ledgerlake.llm._common import crc_mod, discard, documents, materialise
 from ledgerlake.llm.decontaminate import find_leaks
 from ledgerlake.llm.jaccard_join import jaccard_components
 from ledgerlake.llm.line_dedup import dedup_lines
@@ -40,7 +44,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the best segmentation, with its score and those of the runners-up."""
+    """Piece ids of the best segmentation, with its score and those of the runners-up; other columns end here."""
     out = encode_texts(docs, keep=["doc_id"])
     return out.select("doc_id", F.col("sp_ids").alias("ids"), F.col("sp_n_pieces").alias("n_pieces"), F.col("sp_score").alias("score"),
                       F.col("sp_scores").alias("nbest_scores"), F.col("sp_round_trip").alias("round_trip"))
@@ -53,7 +57,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, done = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        if done is not None:
+            discard(done)
+        done = docs
     return STAGES[-1][1](spark, docs, sf_dir)
