@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -33,6 +34,32 @@ def json_map(m: Column) -> Column:
     return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(":"), json_text(e["value"]))), ","), F.lit("}"))
 
 
+def json_raw_map(m: Column) -> Column:
+    """Canonical JSON of a map whose values are JSON texts."""
+    entries = F.array_sort(F.map_entries(m))
+    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(json_text(e["key"]), F.lit(":"), e["value"])), ","), F.lit("}"))
+
+
+def canonical_json(value: object) -> str:
+    """Canonical JSON of a value on the driver: sorted keys, no blanks, non-ASCII characters kept."""
+    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def utc_now() -> Column:
+    """The time of the query in UTC to the second, as text; pass a time of your own where results must repeat."""
+    return F.date_format(F.to_utc_timestamp(F.date_trunc("second", F.current_timestamp()), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def row_uuid(given: Column) -> Column:
+    """The id given, or a random one where there is none."""
+    return F.coalesce(non_empty(given), F.uuid())
+
+
+def is_number(text: Column) -> Column:
+    """Whether a JSON text is a number; true and false aren't."""
+    return F.coalesce(F.regexp_like(text, F.lit(r"^-?(0|[1-9][0-9]*)(\.[0-9]+)?([eE][+-]?[0-9]+)?$")), F.lit(False))
+
+
 def stable_id(prefix: str, canonical: Column) -> Column:
     """PREFIX- and the first 24 hex digits of the SHA-256 of a canonical text."""
     return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(canonical, 256), 1, 24))
@@ -64,14 +91,14 @@ def canonical_url(url: Column) -> Column:
 
     Trimmed; lower-case scheme and host; default port, fragment and tracking parameters dropped; the query decoded,
     sorted by name and value and encoded again, blank values kept; an empty path is /. What is no absolute http or
-    other scheme://host URL stays as it is, trimmed. A URL with credentials gives null. IPv6 hosts keep brackets.
+    other scheme://host URL stays as it is, trimmed. A URL with credentials is an error. IPv6 hosts keep brackets.
     """
     u = F.trim(url)
     pattern = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
     g = lambda i: F.regexp_extract(u, pattern, i)
     scheme, authority, path, query = F.lower(g(1)), g(2), g(3), g(4)
     host = F.lower(F.regexp_replace(authority, r":[0-9]*$", ""))
-    port = F.regexp_extract(authority, r":([0-9]+)$", 1)
+    port = F.regexp_extract(authority, r":0*([0-9]+)$", 1)
     default = ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")) | (port == "")
     pairs = F.filter(F.split(query, "&"), lambda p: p != "")
     pairs = F.transform(pairs, lambda p: F.struct(_unquote_plus(F.substring_index(p, "=", 1)).alias("k"),
@@ -81,7 +108,7 @@ def canonical_url(url: Column) -> Column:
     out = F.concat(scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)),
                    F.when(path == "", "/").otherwise(path), F.when(encoded == "", "").otherwise(F.concat(F.lit("?"), encoded)))
     absolute = F.regexp_like(u, F.lit(pattern)) & (authority != "")
-    return F.when(~absolute, u).when(F.instr(authority, "@") > 0, F.lit(None).cast("string")).otherwise(out)
+    return F.when(~absolute, u).when(F.instr(authority, "@") > 0, F.raise_error(F.lit("locator with embedded credentials")).cast("string")).otherwise(out)
 
 
 def version_of(text: object) -> tuple[int, ...]:
@@ -116,8 +143,8 @@ def rounded(c: Column, digits: int = 6) -> Column:
 
 
 def safe_suffix(name: Column) -> Column:
-    """File suffix of letters and digits, 12 characters at most with its dot; else .bin."""
-    return F.coalesce(non_empty(F.regexp_extract(name, r"[^/.](\.[A-Za-z0-9]{1,11})$", 1)), F.lit(".bin"))
+    """Lower-case file suffix of letters and digits, 12 characters at most with its dot; else .bin."""
+    return F.coalesce(non_empty(F.lower(F.regexp_extract(name, r"[^/.](\.[A-Za-z0-9]{1,11})$", 1))), F.lit(".bin"))
 
 
 def contained_path(path: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import non_empty, ratio
-from ..functions.vocab import NON_FAILURE, STAGES, SUCCESS
+from ..functions.vocab import HARD_FAILURE, NON_FAILURE, STAGES, SUCCESS
 from .latest import ATTEMPT_REPORT, latest
 
 
@@ -60,6 +60,14 @@ def stage_summary(attempts: DataFrame) -> DataFrame:
     return stages.join(found, "stage", "left").na.fill(0)
 
 
+def adapter_summary(attempts: DataFrame) -> DataFrame:
+    """Per adapter: targets with a full success, targets with a usable result, their rates, and the measures of efficiency()."""
+    found = attempts.groupBy("adapter").agg(F.count_distinct(F.when(F.col("status") == "success", F.col("target_id"))).alias("fully_successful_targets"),
+                                            F.count_distinct(F.when(succeeded(), F.col("target_id"))).alias("usable_targets"))
+    out = efficiency(attempts, "adapter").join(found, "adapter")
+    return out.withColumns({"target_success_rate": ratio(F.col("fully_successful_targets"), F.col("targets")), "target_usable_rate": ratio(F.col("usable_targets"), F.col("targets"))})
+
+
 def target_flags(attempts: DataFrame) -> DataFrame:
     """Per target: which steps of the funnel it reached."""
     good, stage = succeeded(), F.col("stage")
@@ -81,7 +89,7 @@ def pipeline_funnel(attempts: DataFrame) -> DataFrame:
     both = flags.join(last, "target_id")
     return both.agg(
         n(c("discovered")).alias("discovered"), n(c("fetch_attempted")).alias("fetch_attempted"), n(c("fetched")).alias("fetched"), n(c("parsed")).alias("parsed"),
-        n(c("extracted")).alias("extracted"), n(c("valid")).alias("valid"), n(c("status") == "skipped_duplicate").alias("duplicate"),
+        n(c("extracted")).alias("extracted"), n(c("valid")).alias("valid"), n(c("duplicate")).alias("duplicate"),
         n(~c("status").isin(*NON_FAILURE)).alias("unresolved"), n(c("parsed") & c("fetched")).alias("_both")).select(
         "discovered", "fetch_attempted", "fetched", "parsed", "extracted", "valid", "duplicate", "unresolved",
         ratio(c("fetched"), c("fetch_attempted")).alias("fetch_rate"), ratio(c("_both"), c("fetched")).alias("parse_rate"),
@@ -114,12 +122,12 @@ def batch_yield(attempts: DataFrame) -> DataFrame:
 
 
 def executions(attempts: DataFrame) -> DataFrame:
-    """(target, route, attempt_no) runs: last status decides; records, time and cost add up."""
+    """(target, route, attempt_no) runs: the last status decides on success and blocking; records, time and cost add up."""
     order = F.struct("finished_at", "attempt_no", "attempt_id", *(["line"] if "line" in attempts.columns else []))
     return attempts.withColumn("route", route_of_selector()).groupBy("target_id", "route", "attempt_no").agg(
         F.max_by(succeeded(), order).alias("success"), F.sum(F.coalesce("new_record_count", F.lit(0))).alias("new_records"),
         F.sum(F.coalesce("elapsed_ms", F.lit(0))).alias("elapsed_ms"), F.sum("cost").alias("cost"), F.count("cost").alias("costs"),
-        F.bool_or(F.col("status").isin("blocked", "access_denied", "challenge_blocked")).alias("blocked"))
+        F.max_by(F.col("status").isin(*HARD_FAILURE), order).alias("blocked"))
 
 
 def route_metrics(attempts: DataFrame, rounded: bool = True) -> DataFrame:

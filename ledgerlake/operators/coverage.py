@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import ratio
-from ..functions.vocab import TERMINAL_REPORT
+from ..functions.vocab import COVERAGE_STATES, TERMINAL_REPORT
 from .latest import COVERAGE_REPORT, latest
 
 
@@ -24,15 +24,20 @@ def totals(coverage: DataFrame) -> DataFrame:
     return latest_cells(coverage).agg(F.count("*").alias("cells"), done.alias("terminal_cells")).withColumn("terminal_rate", ratio(F.col("terminal_cells"), F.col("cells")))
 
 
-def field_summary(coverage: DataFrame, observations: DataFrame, contract_fields: list[str]) -> DataFrame:
-    """Per field of the contract, the coverage or the observations: observations, targets, keys, cells, terminal share."""
+def field_summary(coverage: DataFrame, observations: DataFrame, required: list[str], optional: list[str] = ()) -> DataFrame:
+    """Per field of the contract, the coverage or the observations: whether required or optional, observations, targets,
+    keys, cells, terminal share, and the cells of each state as a map."""
     spark = coverage.sparkSession
-    cells = latest_cells(coverage).groupBy(F.col("field_scope").alias("field")).agg(F.count("*").alias("planned"), F.count_if(F.col("state").isin(*TERMINAL_REPORT)).alias("terminal"))
+    states = (*COVERAGE_STATES, "unknown")
+    cells = latest_cells(coverage).groupBy(F.col("field_scope").alias("field")).agg(F.count("*").alias("planned"), F.count_if(F.col("state").isin(*TERMINAL_REPORT)).alias("terminal"),
+        *[F.count_if(F.coalesce(F.col("state"), F.lit("unknown")) == x).alias(f"_{x}") for x in states])
     seen = observations.groupBy("field").agg(F.count("*").alias("observations"), F.count_distinct("target_id").alias("targets"), F.count_distinct("observation_key").alias("keys"))
-    fields = spark.createDataFrame([(f,) for f in contract_fields], "field string").union(cells.select("field")).union(seen.select("field")).distinct()
+    fields = spark.createDataFrame([(f,) for f in dict.fromkeys([*required, *optional])], "field string").union(cells.select("field")).union(seen.select("field")).distinct()
     counts = ["observations", "targets", "keys", "planned", "terminal"]
     out = fields.join(cells, "field", "left").join(seen, "field", "left").na.fill(0, counts)
-    return out.select("field", *counts, ratio(F.col("terminal"), F.col("planned")).alias("terminal_rate"))
+    histogram = F.map_filter(F.create_map(*[x for s in states for x in (F.lit(s), F.coalesce(f"_{s}", F.lit(0)))]), lambda _, n: n > 0)
+    among = lambda names: F.col("field").isin(*names) if names else F.lit(False)
+    return out.select("field", among(required).alias("required"), among(optional).alias("optional"), *counts, ratio(F.col("terminal"), F.col("planned")).alias("terminal_rate"), histogram.alias("states"))
 
 
 def select_targets(targets: DataFrame, target_ids: list[str] = (), batch_ids: list[str] = (), shard_ids: list[int] = ()) -> DataFrame:
@@ -68,6 +73,14 @@ def pilot_consistency(targets: DataFrame, coverage: DataFrame, observations: Dat
     return both.select("target_id", "field", F.when(F.col("seen").isNull(), "hit_without_observation").otherwise("observation_without_hit").alias("issue"))
 
 
+def pilot_field_issues(targets: DataFrame, observations: DataFrame, contract_fields: list[str], extractor_fields: list[str]) -> DataFrame:
+    """(target_id, field, issue): observations of the pilot's targets whose field the contract or the extractor lacks."""
+    seen = observations.join(targets.select("target_id"), "target_id", "left_semi").select("target_id", "field")
+    parts = [seen.where(~F.coalesce(F.col("field").isin(*names) if names else F.lit(False), F.lit(False))).withColumn("issue", F.lit(issue))
+             for names, issue in ((contract_fields, "outside the field contract"), (extractor_fields, "not declared by the extractor"))]
+    return parts[0].union(parts[1])
+
+
 def completion_axes(coverage: DataFrame, attempts: DataFrame, frontier_latest: DataFrame) -> DataFrame:
     """The three completion axes: discovery (frontiers closed), collection (targets resolved), coverage (cells closed)."""
     from .attempts import pipeline_funnel

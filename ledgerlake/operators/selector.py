@@ -136,6 +136,12 @@ def ledger_digest(df: DataFrame) -> str:
     return df.agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), *sums), 256)).first()[0]
 
 
+def record_decision(decision: DataFrame, existing: DataFrame) -> tuple[DataFrame, bool]:
+    """(the decision that holds, whether it is to be appended): an earlier row of the same id takes its place."""
+    prior = existing.join(F.broadcast(decision.select("decision_id")), "decision_id", "left_semi")  # one row
+    return (decision, True) if prior.isEmpty() else (prior, False)
+
+
 DECISION_SCHEMA = ("run_id string, goal_id string, input_snapshot string, decided_at string, selector_version string, "
                    "policy struct<name:string,limit:bigint,exploration_slots:bigint,max_attempts_per_target_route:bigint>, ledger_snapshot map<string,string>, "
                    "selected array<struct<target_id:string,selected_route_id:string,debt:bigint,utility:double,selection_reason:string>>, selected_count bigint, candidate_count bigint, "

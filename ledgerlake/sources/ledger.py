@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import time
+import uuid
 
+import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
-from ..functions.expr import contained_path, safe_suffix, stable_id, json_object, json_text
+from ..functions.expr import contained_path, json_object, json_text, safe_suffix, stable_id, version_of
+from ..functions.vocab import GATES
 
 RAW, CORRUPT = "raw_line", "_corrupt"
 
@@ -22,13 +29,12 @@ def read_contract(spark: SparkSession, path: str) -> dict:
 
 
 def read_ledger(spark: SparkSession, paths: str | list[str], schema: StructType, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, issues) of JSON Lines files. Rows carry raw_line, _input_path and _line_at (place in the input).
+    """(rows, issues) of JSON Lines files. Rows carry raw_line, _input_path and line, the number of the line in its file.
 
     Blank lines are skipped. A line that is no JSON object becomes an issue, or with strict an error when read.
     """
     paths = [paths] if isinstance(paths, str) else paths
-    lines = spark.read.text(paths).select(F.regexp_replace("value", "^﻿", "").alias(RAW), F.col("_metadata.file_path").alias("_input_path"),
-                                          F.monotonically_increasing_id().alias("_line_at")).where(F.trim(RAW) != "")
+    lines = numbered_lines(spark, paths).withColumn(RAW, F.regexp_replace(RAW, "^﻿", "")).where(F.trim(RAW) != "")
     full = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     is_object = F.json_object_keys(RAW).isNotNull()
     parsed = lines.withColumn("_row", F.from_json(RAW, full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}))
@@ -36,8 +42,70 @@ def read_ledger(spark: SparkSession, paths: str | list[str], schema: StructType,
     if strict:
         parsed = parsed.withColumn("_row", F.when(bad, F.raise_error(F.concat(F.lit("invalid ledger line: "), F.col(RAW)))).otherwise(F.col("_row")))
         bad = F.lit(False)
-    rows = parsed.where(~bad).select(*[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields], RAW, "_input_path", "_line_at")
-    return rows, parsed.where(bad).select("_input_path", "_line_at", RAW)
+    rows = parsed.where(~bad).select(*[F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields], RAW, "_input_path", "line")
+    return rows, parsed.where(bad).select("_input_path", "line", RAW)
+
+
+def numbered_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(raw_line, _input_path, line): lines of text files with their numbers from 1.
+
+    Lines are counted by block of a file, and the counts added up; there is one row per block, and no line moves.
+    """
+    text = spark.read.text(paths).select(F.col("value").alias(RAW), F.col("_metadata.file_path").alias("_input_path"), F.col("_metadata.file_block_start").alias("_start"),
+                                         F.monotonically_increasing_id().alias("_at"))
+    blocks = text.groupBy("_input_path", "_start").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_input_path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return text.join(blocks, ["_input_path", "_start"]).select(RAW, "_input_path", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias("line"))
+
+
+def load_contract(spark: SparkSession, path: str) -> tuple[dict, list[str]]:
+    """(the JSON object, problems): like read_contract(), but what is wrong is returned, with an empty object."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+            return {}, [f"{path}: missing"]
+        return read_contract(spark, path), []
+    except ValueError as e:
+        return {}, [f"{path}: {e}"]
+
+
+def replace_contract(spark: SparkSession, path: str, value: dict) -> None:
+    """Write a JSON object (sorted keys, indented) in place of the one at path, by one rename over it."""
+    _replace_file(spark, path, (json.dumps(value, sort_keys=True, ensure_ascii=False, indent=2) + "\n").encode())
+
+
+def _replace_file(spark: SparkSession, path: str, content: bytes) -> None:
+    jvm = spark._jvm
+    target, own = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    out = own.getFileSystem(spark._jsc.hadoopConfiguration()).create(own)
+    out.write(bytearray(content))
+    out.close()
+    option = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    option[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(own, target, option)
+
+
+def write_report(spark: SparkSession, path: str, report: dict) -> str:
+    """The report as JSON text (sorted keys, indented), also written to path."""
+    replace_contract(spark, path, report)
+    return json.dumps(report, sort_keys=True, ensure_ascii=False, indent=2)
+
+
+#: Files of a run package, and those that a schema version introduced.
+REQUIRED_FILES = ("goal_contract.json", "run_manifest.json", "data_dictionary.json", "coverage_plan.json", "sources.jsonl", "coverage.jsonl", "observations.jsonl", "tasks.jsonl",
+                  "claims.jsonl", "current_view.jsonl", "conflicts.jsonl")
+GATED_FILES = {"field_contract": ("field_contract.json",), "attempts": ("collection_attempts.jsonl",), "targets": ("target_queue.jsonl", "raw_artifacts.jsonl"),
+               "adaptive": ("discovery_frontier.jsonl", "batch_decisions.jsonl")}
+
+
+def missing_files(spark: SparkSession, root: str, schema_version: str | None = None) -> list[tuple[str, str]]:
+    """(rule, file): required files that a run package lacks (V01); with a schema version, those it introduced too (V03)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    have = {x.getPath().getName() for x in fs.listStatus(at)} if fs.exists(at) else set()
+    gated = [f for gate, files in GATED_FILES.items() if version_of(schema_version) >= GATES[gate] for f in files]
+    return [("V01", f) for f in REQUIRED_FILES if f not in have] + [("V03", f) for f in gated if f not in have]
 
 
 def optional_ledger(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -49,21 +117,42 @@ def optional_ledger(spark: SparkSession, path: str, schema: StructType) -> DataF
 
 
 def replace_atomically(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write beside `path`, then rename, so that readers see the old rows or the new ones."""
+    """Write df as a new version under path, then point to it by one rename, so that readers see the old rows or the new ones.
+
+    Versions but the last two are deleted, so that a reader of the one before can end. Read it with read_current().
+    """
     spark = df.sparkSession
+    version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    df.write.format(fmt).save(f"{path}/{version}")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    before = current_version(spark, path)
+    _replace_file(spark, f"{path}/_current-version", version.encode())
+    for x in fs.listStatus(at):
+        name = x.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(x.getPath(), True)
+
+
+def current_version(spark: SparkSession, path: str) -> str | None:
     jvm = spark._jvm
-    target, staged, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".staged", ".old"))
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = jvm.org.apache.hadoop.fs.Path(path, "_current-version")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
     try:
-        df.write.mode("overwrite").format(fmt).save(path + ".staged")
-        fs.delete(old, True)
-        if fs.exists(target):
-            fs.rename(target, old)
-        if not fs.rename(staged, target):
-            raise OSError(f"can't rename to {path}")
-        fs.delete(old, True)
+        return bytes(stream.readAllBytes()).decode()
     finally:
-        fs.delete(staged, True)
+        stream.close()
+
+
+def read_current(spark: SparkSession, path: str, schema: StructType, fmt: str = "json") -> DataFrame:
+    """The rows that replace_atomically() last put at path."""
+    version = current_version(spark, path)
+    if version is None:
+        raise FileNotFoundError(path)
+    return spark.read.schema(schema).format(fmt).load(f"{path}/{version}")
 
 
 def split_append(new: DataFrame, existing: DataFrame, key: str, payload: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -105,8 +194,42 @@ def payload_store(files: DataFrame) -> DataFrame:
 
 def raw_artifact_rows(files: DataFrame) -> DataFrame:
     """Provenance rows of payloads: files has run_id, target_id, attempt_id, sha256, bytes and relative_path."""
-    identity = json_object(attempt_id=json_text(F.col("attempt_id")), sha256=json_text(F.col("sha256")), target_id=json_text(F.col("target_id")))
-    return files.withColumn("raw_artifact_id", stable_id("RAW", identity)).where(contained_path(F.col("relative_path")))
+    identity = json_object(**{c: json_text(F.col(c)) for c in ("run_id", "target_id", "attempt_id", "sha256")})
+    inside = F.when(contained_path(F.col("relative_path")), F.col("relative_path")).otherwise(F.raise_error(F.concat(F.lit("path leaves the package: "), F.col("relative_path"))))
+    return files.withColumn("raw_artifact_id", stable_id("RAW", identity)).withColumn("relative_path", inside)
+
+
+def store_payloads(files: DataFrame, root: str) -> DataFrame:
+    """Copy payloads (path, content) to their content-addressed places under root; returns payload_store() without content,
+    with stored_new. A file that is there already must have the hash of its name, else that is an error.
+
+    Each distinct payload is written once, under a name of its own that is then renamed, so a repeated task does no harm.
+    """
+    placed = payload_store(files).withColumn("name", F.concat(F.lit(root.rstrip("/") + "/"), F.col("relative_path")))
+
+    def copy(rows):
+        for batch in rows:
+            done = []
+            for name, sha, content in zip(*(batch.column(c).to_pylist() for c in ("name", "sha256", "content"))):
+                done.append(_store_one(name, sha, content))
+            yield pa.RecordBatch.from_arrays([batch.column("relative_path"), pa.array(done, pa.bool_())], names=["relative_path", "stored_new"])
+    once = placed.dropDuplicates(["relative_path"]).select("relative_path", "name", "sha256", "content").mapInArrow(copy, "relative_path string, stored_new boolean")
+    return placed.drop("content", "name").join(once, "relative_path")
+
+
+def _store_one(name: str, sha: str, content: bytes) -> bool:
+    fs, at = pa.fs.FileSystem.from_uri(name)
+    if fs.get_file_info(at).type == pa.fs.FileType.File:
+        with fs.open_input_stream(at) as f:
+            if hashlib.sha256(f.read()).hexdigest() != sha:
+                raise ValueError(f"{name} has another hash than its name")
+        return False
+    fs.create_dir(at.rpartition("/")[0], recursive=True)
+    own = f"{at}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own) as f:
+        f.write(content)
+    fs.move(own, at)
+    return True
 
 
 LEDGERS = ("sources", "discovery_frontier", "target_queue", "collection_attempts", "batch_decisions", "coverage", "observations",
@@ -127,9 +250,7 @@ def init_package(spark: SparkSession, path: str, goal: dict, manifest: dict, con
         raise ValueError("required, optional and excluded fields overlap")
     snapshot = hashlib.sha256(json.dumps(goal, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
     for name, value in {"goal_contract": goal, "run_manifest": manifest | {"input_snapshot": snapshot}, **contracts}.items():
-        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.json"))
-        out.write(bytearray((json.dumps(value, sort_keys=True, ensure_ascii=False, indent=2) + "\n").encode()))
-        out.close()
+        replace_contract(spark, f"{path}/{name}.json", value)
     for name in LEDGERS:
         fs.create(jvm.org.apache.hadoop.fs.Path(f"{path}/{name}.jsonl")).close()
     return snapshot

@@ -25,12 +25,20 @@ def append_stream(events: DataFrame, path: str, key: str, payload: list[str], ch
 
 
 def merge_stream(observations: DataFrame, store: str, view: str, checkpoint: str, current_run: str | None = None):
-    """Keep a ledger of observations and rebuild the current view after each micro-batch; order-invariant."""
+    """Keep a ledger of observations, and after each micro-batch the current view of it; order-invariant.
+
+    Only keys that the batch touches are merged again; the rows of other keys are copied into the next version.
+    """
     from ..operators.merge import current_view
-    from ..sources.ledger import replace_atomically
+    from ..sources.ledger import current_version, read_current, replace_atomically
 
     def apply(df: DataFrame, _: int) -> None:
+        spark = df.sparkSession
         append_idempotent(df, store, "observation_id", [c for c in df.columns if c != "observation_id"])
-        ledger = df.sparkSession.read.schema(df.schema).parquet(store)
-        replace_atomically(current_view(ledger, current_run), view, "parquet")
+        touched = df.select("observation_key").distinct()
+        ledger = spark.read.schema(df.schema).parquet(store)
+        fresh = current_view(ledger.join(touched, "observation_key", "left_semi"), current_run)
+        if current_version(spark, view) is not None:
+            fresh = read_current(spark, view, fresh.schema, "parquet").join(touched, "observation_key", "left_anti").unionByName(fresh)
+        replace_atomically(fresh, view, "parquet")
     return observations.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
