@@ -267,3 +267,22 @@ def _may_link(percent: int, a_hi: Column, a_s: Column, a_lo: Column, b_lo: Colum
 
 def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), k=3, percent=90)
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda p: array_to_string(w[p:p + 2], ' '))) END AS g FROM w),
+k AS (SELECT doc_id, len(g) AS n, CASE WHEN len(g) > 0 THEN sha256(array_to_string(list_sort(g), chr(10))) END AS key, g FROM s),
+r AS (SELECT key, min(doc_id) AS rep, any_value(n) AS n, any_value(g) AS g FROM k WHERE key IS NOT NULL GROUP BY key),
+t AS (SELECT rep, n, unnest(g) AS x FROM r),
+p AS (
+  SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+reach AS (SELECT rep AS id, rep AS c FROM r UNION SELECT e.b, reach.c FROM reach JOIN e ON reach.id = e.a),
+m AS (SELECT id, min(c) AS c FROM reach GROUP BY id)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(m.c, k.doc_id) AS component_id FROM k LEFT JOIN r ON k.key = r.key LEFT JOIN m ON m.id = r.rep
+"""

@@ -310,13 +310,61 @@ def test_pii_base_matches_rules(docs, odd):
     assert got[0]["pii_spans_text"] == got[31]["pii_spans_text"] == ""
 
 
+#: Sentences written by hand, not by the generator of the training set, and what is in them.
+BY_HAND = [
+    ("write to anna at mail dot org today", ["anna at mail dot org"]), ("call (030) 555-1234 now", ["(030) 555-1234"]), ("ring me on 0171 555 77 13 please", ["0171 555 77 13"]),
+    ("contact: bob.smith [at] example [dot] com.", ["bob.smith [at] example [dot] com"]), ("anna(at)mail(dot)org is mine", ["anna(at)mail(dot)org"]), ("mail anna AT mail DOT org", ["anna AT mail DOT org"]),
+    ("Reach us: info[at]firma.de, thanks", ["info[at]firma.de"]), ("phone 555-867-5309 after six", ["555-867-5309"]), ("dial 0049 171 5557713", ["0049 171 5557713"]), ("server 10 . 0 . 0 . 7 is down", ["10 . 0 . 0 . 7"]),
+    ("paid with 4111.1111.1111.1111 yesterday", ["4111.1111.1111.1111"]), ("my mail is joe @ site.net ok", ["joe @ site.net"]), ("fax 030/5551234 office", ["030/5551234"]), ("tel. (089) 4455-6677", ["(089) 4455-6677"]),
+    ("kim at web dot de or tom at gmx dot net", ["kim at web dot de", "tom at gmx dot net"]), ("we met at noon. It was fine", []), ("look at page 12. The end", []),
+    ("in 1999-12-31 and 2024-01-02 we sold 1,234,567 units", []), ("order 1234567890123456 shipped", []), ("version 1.2.3 at build 20240101", []), ("the total was 12 345 678 EUR", []), ("isbn 978-3-16-148410-0", []),
+    ("sha 3b18e512dba79e4c8300dd08aeb37f8e728b8dad", []), ("row 100 200 300 400 500", []), ("he stood at the dot on the map", [])]
+
+
 def test_semi_markov_field_finds_disguised_entities():
-    found = collections.Counter()
-    for text, gold in pii.training_examples(150, 99):
-        _, spans = pii.find_spans(text, pii.trained())
-        found.update(hit=len(set(gold) & set(spans)), miss=len(set(gold) - set(spans)), false=len(set(spans) - set(gold)))
-    assert found["hit"] > 2 * found["miss"] and found["false"] < 0.1 * found["hit"]
-    assert ("email", 8, 29) in pii.find_spans("write to anna at mail dot org today", pii.trained())[1] or found["hit"]
+    """Beyond the patterns: nine in ten of generated entities, three in four of those in sentences by hand, and next to no false ones."""
+    found, model = collections.Counter(), pii.trained()
+    for text, gold in pii.training_examples(200, 99):
+        base, spans = map(set, pii.find_spans(text, model))
+        assert base <= spans
+        found.update(hit=len((set(gold) & spans) - base), miss=len(set(gold) - spans), false=len(spans - set(gold) - base))
+    assert found["hit"] >= 9 * found["miss"] and found["false"] < 0.03 * found["hit"]
+    hit = 0
+    for text, gold in BY_HAND:
+        got = {text[a:b] for _, a, b in pii.find_spans(text, model)[1]}
+        hit += len(got & set(gold))
+        assert got <= set(gold), text
+    assert hit >= 0.75 * sum(len(g) for _, g in BY_HAND)
+
+
+def test_semi_markov_sums_match_enumeration():
+    """Best segmentation and marginals against a list of all segmentations of short texts."""
+    rng = random.Random(12)
+    model = pii.trained()
+
+    def every(n, scores, i=0):
+        if i == n:
+            yield 0.0, ()
+            return
+        for s, rest in every(n, scores, i + 1):
+            yield s, rest
+        for (a, b), own in scores.items():
+            if a == i:
+                for s, rest in every(n, scores, b):
+                    for k, x in enumerate(own):
+                        yield s + x, ((a, b, k), *rest)
+    for _ in range(25):
+        text = " ".join(rng.choice(["anna", "at", "dot", "org", "555", "12345678", "@", "+49", "."]) for _ in range(rng.randint(1, 6)))
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        scores = model._scores(pii._segments(text, tokens))
+        all_ = list(every(len(tokens), scores))
+        top = max(s for s, _ in all_)
+        total = sum(math.exp(s - top) for s, _ in all_)
+        fore, rear = model._sums(len(tokens), scores)
+        assert abs(fore[-1] - (top + math.log(total))) < 1e-6 and abs(rear[0] - fore[-1]) < 1e-6
+        best = max(all_)[1]
+        sure = {(pii.KINDS[k], tokens[a][0], tokens[b - 1][1]) for a, b, k in best if sum(math.exp(s - top) for s, way in all_ if (a, b, k) in way) / total >= pii.SURE}
+        assert set(model.decode(text)) == sure
 
 
 # --- op7
