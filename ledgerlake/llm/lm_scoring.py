@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
 from ._common import crc_mod, discard, documents, materialise
-from ._words import combine, hash_words, slices
+from ._words import combine, hash_words, slices, tidy
 
 #: Tokens of a block, and n-grams of a range of the hash space, in expectation.
 BLOCK = 1_000_000
@@ -107,6 +107,7 @@ class _Block:
             ctx = np.roll(grams[k - 1], 1)
             ctx[self.starts] = n_docs
             contexts.append(ctx)
+        self.keys, self.inv = [], []  # not needed any more, and as large as the counts
         return grams, contexts
 
 
@@ -152,15 +153,15 @@ def _bucket(contexts: list[np.ndarray]) -> np.ndarray:
     """The highest order whose context was seen, and the octave of that context's frequency."""
     if not contexts:
         return np.zeros(0, np.int64)
-    out = np.zeros(len(contexts[0]), dtype=np.int64)
+    out = np.zeros(len(contexts[0]), dtype=np.int16)
     for k, ctx in enumerate(contexts, 1):
-        out = np.where(ctx > 0, k * OCTAVES + np.log2(np.maximum(ctx, 1)).astype(np.int64), out)
+        out = np.where(ctx > 0, k * OCTAVES + np.log2(np.maximum(ctx, 1)).astype(np.int16), out)
     return out
 
 
-def _estimates(grams: list[np.ndarray], contexts: list[np.ndarray], n: float) -> list[np.ndarray]:
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return [np.where(c > 0, g / c, 0.0) for g, c in zip(grams, [np.float64(n), *contexts])]
+def _estimates(grams: list[np.ndarray], contexts: list[np.ndarray], n: float) -> Iterator[np.ndarray]:
+    for g, c in zip(grams, [np.float64(n), *contexts]):
+        yield np.divide(g, c, out=np.zeros(len(g)), where=c > 0)
 
 
 def _statistics(order: int, ranges: int, n: float):
@@ -172,7 +173,7 @@ def _statistics(order: int, ranges: int, n: float):
                 grams, contexts = b.lookup(_counts(row, order, ranges))
                 grams = [g[b.train] - 1 for g in grams]
                 contexts = [c[b.train] - 1 for c in contexts]
-                cell = _bucket(contexts) if contexts else np.zeros(len(grams[0]), np.int64)
+                cell = _bucket(contexts).astype(np.int64) if contexts else np.zeros(len(grams[0]), np.int64)
                 for p in _estimates(grams, contexts, n - 1):
                     with np.errstate(divide="ignore"):
                         q = np.minimum(np.round(-np.log2(p) * STEPS), ZERO - 1)
@@ -219,10 +220,10 @@ def _score(order: int, ranges: int, n: int, kinds: int, weights: np.ndarray):
                 grams, contexts = b.lookup(_counts(row, order, ranges))
                 base = np.log10((grams[0] + 0.1) / (n + 0.1 * (kinds + 1)))
                 bucket = _bucket(contexts) if contexts else np.zeros(len(grams[0]), np.int64)
-                w = weights[bucket]
-                prob = w[:, 0] / (kinds + 1)
+                prob = weights[bucket, 0] / (kinds + 1)
                 for k, p in enumerate(_estimates(grams, contexts, n), 1):
-                    prob += w[:, k] * p
+                    p *= weights[bucket, k]
+                    prob += p
                 add = lambda x: np.add.reduceat(x, b.starts)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["docs"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(b.lengths, pa.int64()),
@@ -243,13 +244,13 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
-    blocks = rows.mapInArrow(_blocks(block), _BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id())
+    blocks = rows.mapInArrow(tidy(_blocks(block)), _BLOCK_SCHEMA).withColumn("block", F.monotonically_increasing_id())
     blocks = materialise(blocks, "blocks")
     total = blocks.agg(F.sum("tokens")).first()[0] or 0
     ranges = max(1, -(-total // block))
 
     def ask(k: int) -> DataFrame:
-        asked = blocks.mapInArrow(_requests(k, ranges), "range long, block long, keys binary, counts binary")
+        asked = blocks.mapInArrow(tidy(_requests(k, ranges)), "range long, block long, keys binary, counts binary")
         return materialise(asked.groupBy("range").applyInPandas(_answer, "range long, block long, reply binary, kinds long, mass long"), "replies")
     replies = []
     for k in range(order):
@@ -261,11 +262,11 @@ def deleted_interpolation(docs: DataFrame, held_out, order: int = 3, block: int
     discard(blocks, *replies)
 
     # At most a cell for each bucket and tuple of half-octave steps, however large the corpus.
-    cells = joined.mapInArrow(_statistics(order, ranges, float(n)), "cell long, places long").groupBy("cell").agg(F.sum("places").alias("places")).toPandas()
+    cells = joined.mapInArrow(tidy(_statistics(order, ranges, float(n))), "cell long, places long").groupBy("cell").agg(F.sum("places").alias("places")).toPandas()
     weights = fit_weights(cells["cell"].to_numpy(np.int64), cells["places"].to_numpy(np.int64), order, 1.0 / (kinds + 1))
     if not n:
         weights[:] = np.eye(order + 1)[0]
-    return joined.mapInArrow(_score(order, ranges, n, kinds, weights),
+    return joined.mapInArrow(tidy(_score(order, ranges, n, kinds, weights)),
                              "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
