@@ -244,6 +244,11 @@ def check_package(tables: Tables, only: set[str] | None = None, strict: bool = F
     return out.withColumn("severity", F.lit("error")) if strict else out
 
 
+def blob_issues(raw_artifacts: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Issues of stored payloads whose file is missing or differs; blobs has relative_path, length and, to check it, sha256."""
+    return _stored_sizes({"raw_artifacts": raw_artifacts, "blobs": blobs})
+
+
 def check_contracts(goal: dict, manifest: dict, dictionary: dict | None = None, fields: dict | None = None, plan: dict | None = None) -> list[tuple[str, str, str]]:
     """(rule, severity, message) of the one-row contracts."""
     out: list[tuple[str, str, str]] = []

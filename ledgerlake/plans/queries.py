@@ -19,6 +19,7 @@ from ..operators import validate as V
 from ..operators.latest import latest
 from .fixtures import SQL, ledger, table
 from .rule_queries import RULE_QUERIES, RULE_SQL
+from .run_queries import RUN_QUERIES, RUN_SQL, stream_merged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -543,3 +544,5 @@ def instants(spark, d):
 
 QUERIES |= RULE_QUERIES
 ORACLE_SQL |= RULE_SQL
+QUERIES |= RUN_QUERIES | {"stream_merged": stream_merged}
+ORACLE_SQL |= RUN_SQL | {"stream_merged": ORACLE_SQL["merge_current_view"]}

@@ -52,7 +52,7 @@ LEDGERS = {
         split(concat('o-', CAST(c_custkey + 1 AS STRING), ',o-', CAST(c_custkey + 2 AS STRING)), ',') AS alternative_observation_ids"""),
 }
 _SPARK = {name: f"SELECT {columns if '{{' in columns else columns.replace('{', '{{').replace('}', '}}')} FROM {{t}}" for name, (_, columns) in LEDGERS.items()}
-_DUCK = {name: f"{name}_ AS (SELECT {columns.replace('{{', '{').replace('}}', '}').replace('sha2(', 'sha_2(')} FROM {source})" for name, (source, columns) in LEDGERS.items()}
+DUCK = {name: f"{name}_ AS (SELECT {columns.replace('{{', '{').replace('}}', '}').replace('sha2(', 'sha_2(')} FROM {source})" for name, (source, columns) in LEDGERS.items()}
 
 
 def ledgers(spark, sf_dir: str) -> dict[str, DataFrame]:
@@ -143,7 +143,7 @@ def _query(rule: str):
 def _sql(rule: str) -> str:
     parts = " UNION ALL ".join(CHECKS[rule])
     used = [name for name in LEDGERS if f"{name}_" in parts]
-    return f"WITH {', '.join(_DUCK[n] for n in used)} SELECT * FROM ({parts}) AS found(table_name, row_key, message)".replace("sha_2(", "sha256(").replace(", 256)", ")")
+    return f"WITH {', '.join(DUCK[n] for n in used)} SELECT * FROM ({parts}) AS found(table_name, row_key, message)".replace("sha_2(", "sha256(").replace(", 256)", ")")
 
 
 RULE_QUERIES = {f"rule_{rule}": _query(rule) for rule in CHECKS}

@@ -205,16 +205,16 @@ def store_payloads(files: DataFrame, root: str) -> DataFrame:
 
     Each distinct payload is written once, under a name of its own that is then renamed, so a repeated task does no harm.
     """
-    placed = payload_store(files).withColumn("name", F.concat(F.lit(root.rstrip("/") + "/"), F.col("relative_path")))
+    placed = payload_store(files).withColumn("_name", F.concat(F.lit(root.rstrip("/") + "/"), F.col("relative_path")))
 
     def copy(rows):
         for batch in rows:
             done = []
-            for name, sha, content in zip(*(batch.column(c).to_pylist() for c in ("name", "sha256", "content"))):
+            for name, sha, content in zip(*(batch.column(c).to_pylist() for c in ("_name", "sha256", "content"))):
                 done.append(_store_one(name, sha, content))
             yield pa.RecordBatch.from_arrays([batch.column("relative_path"), pa.array(done, pa.bool_())], names=["relative_path", "stored_new"])
-    once = placed.dropDuplicates(["relative_path"]).select("relative_path", "name", "sha256", "content").mapInArrow(copy, "relative_path string, stored_new boolean")
-    return placed.drop("content", "name").join(once, "relative_path")
+    once = placed.dropDuplicates(["relative_path"]).select("relative_path", "_name", "sha256", "content").mapInArrow(copy, "relative_path string, stored_new boolean")
+    return placed.drop("content", "_name").join(once, "relative_path")
 
 
 def _store_one(name: str, sha: str, content: bytes) -> bool:

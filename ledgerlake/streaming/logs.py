@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..sources.ledger import append_idempotent
+from ..sources.ledger import append_idempotent, replace_atomically
 
 
-def read_log(spark: SparkSession, path: str, schema: StructType, fmt: str = "json") -> DataFrame:
-    return spark.readStream.schema(schema).format(fmt).load(path)
+def read_log(spark: SparkSession, path: str, schema: StructType, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
+    log = spark.readStream.schema(schema).format(fmt)
+    return (log.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else log).load(path)
 
 
 def latest_stream(events: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
@@ -19,6 +20,12 @@ def latest_stream(events: DataFrame, keys: list[str], order: tuple[str, ...]) ->
     return events.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
+def replace_view(state: DataFrame, view: str, checkpoint: str):
+    """Keep a streaming aggregate as a Parquet view: each micro-batch's whole result replaces the last one in one step."""
+    return (state.writeStream.outputMode("complete").foreachBatch(lambda df, _: replace_atomically(df, view, "parquet"))
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
 def append_stream(events: DataFrame, path: str, key: str, payload: list[str], checkpoint: str):
     """Append each micro-batch to a Parquet ledger, ids once; a repeated batch appends nothing."""
     return events.writeStream.foreachBatch(lambda df, _: append_idempotent(df, path, key, payload)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -30,7 +37,7 @@ def merge_stream(observations: DataFrame, store: str, view: str, checkpoint: str
     Only keys that the batch touches are merged again; the rows of other keys are copied into the next version.
     """
     from ..operators.merge import current_view
-    from ..sources.ledger import current_version, read_current, replace_atomically
+    from ..sources.ledger import current_version, read_current
 
     def apply(df: DataFrame, _: int) -> None:
         spark = df.sparkSession

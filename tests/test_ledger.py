@@ -357,7 +357,8 @@ def test_queries_match_oracle(spark, sf):
         con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     norm = lambda v: None if v is None else float(f"{v:.10g}") if isinstance(v, float) else v
     for name in ("merge_current_view", "merge_conflicts", "pipeline_funnel", "route_metrics", "select_batch", "target_ids", "pilot_consistency", "lease_duplicates", "plan_targets", "frontier_event_ids",
-                 "adapter_summary", "field_summary", "rule_V24", "rule_V34", "rule_V37", "rule_V42"):
+                 "adapter_summary", "field_summary", "rule_V24", "rule_V34", "rule_V37", "rule_V42", "ledger_lines", "ledger_issues", "stream_latest", "stream_merged", "payload_places", "package_files",
+                 "run_V22", "run_V25", "run_V28", "run_V29", "run_V47", "contract_rules"):
         df = QUERIES[name](spark, sf)
         cols = sorted(df.columns)
         mine = sorted((tuple(map(norm, r)) for r in df.select(cols).collect()), key=str)
