@@ -2,7 +2,8 @@
 
 Every word has a sparse random index vector, derived from its hash. The vector of a word is the sum of the index
 vectors of its neighbours, gathered over all documents; words share a fixed number of rows by their hash, so the
-matrix that is summed up and broadcast has a fixed size (ROWS x DIM) whatever the corpus. The network is fitted with
+matrix that is summed up and broadcast has a fixed size (ROWS x DIM) whatever the corpus. Partial sums are added up
+in two steps, so that no task reads those of all partitions. The network is fitted with
 numpy on a bounded sample of labelled rows (SAMPLE at most, chosen by a hash of doc_id), and its logits are divided
 by a temperature that is fitted on rows kept out of training.
 """
@@ -39,43 +40,51 @@ def _rows(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(50)).astype(np.int64)
 
 
+def index_vectors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the nonzero entries of the words' index vectors, each (NONZERO, words); equal places add up."""
+    code = mix(h + np.uint64(77))
+    place = np.stack([(code >> np.uint64(8 * j)).astype(np.uint8) % np.uint8(DIM) for j in range(NONZERO)])
+    sign = np.stack([1 - 2 * ((code >> np.uint64(60 + j)) & np.uint64(1)).astype(np.int8) for j in range(NONZERO)])
+    return place, sign
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sums of neighbours' index vectors over a partition."""
     sums = np.zeros(ROWS * DIM, dtype=np.float64)
-    code = mix(np.arange(ROWS, dtype=np.uint64) + np.uint64(77))
-    place = np.stack([(code >> np.uint64(8 * j)).astype(np.int64) % DIM for j in range(NONZERO)])
-    sign = np.stack([1.0 - 2.0 * ((code >> np.uint64(60 + j)) & np.uint64(1)).astype(np.float64) for j in range(NONZERO)])
     for batch in (part for whole in batches for part in slices(whole)):
         words, off = hash_words(batch.column("text"), CLASSES, lower=False)
-        row = _rows(words)
+        row = _rows(words) * DIM
         doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+        places, signs = index_vectors(words)
         for step in range(1, WINDOW + 1):
             near = doc[step:] == doc[:-step]
             a, b = row[:-step][near], row[step:][near]
-            for left, right in ((a, b), (b, a)):
-                for j in range(NONZERO):
-                    sums += np.bincount(left * DIM + place[j][right], weights=sign[j][right], minlength=ROWS * DIM)
+            for place, sign in zip(places, signs):
+                sums += np.bincount(a + place[step:][near], weights=sign[step:][near], minlength=ROWS * DIM)
+                sums += np.bincount(b + place[:-step][near], weights=sign[:-step][near], minlength=ROWS * DIM)
     whole = np.rint(sums).astype(np.int64).reshape(SLICES, -1)
     yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([pack(x) for x in whole], pa.binary())], names=["slice", "sums"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Streams the partial sums of the slices of this partition; holds one array per slice."""
+    """Streams the partial sums of the slices of this partition; holds one array per slice, SLICES at most."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for s, blob in zip(batch.column("slice").to_pylist(), batch.column("sums").to_pylist()):
             v = unpack(blob, np.int64)
             total[s] = total[s] + v if s in total else v.copy()
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["slice", "sums"])
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([pack(x) for x in total.values()], pa.binary())], names=["slice", "sums"])
 
 
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit word vectors (ROWS, DIM) of all texts of docs; rows without words are 0."""
     partial = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(_gather), "slice int, sums binary")
-    sums = partial.repartition(SLICES, "slice").mapInArrow(_add_up, "slice int, sums binary").collect()  # ROWS x DIM in all
+    # partial sums of some input partitions first, one task for each shuffle partition; then all of a slice
+    some = partial.withColumn("part", F.spark_partition_id()).repartition("part").drop("part").mapInArrow(_add_up, "slice int, sums binary")
+    sums = some.repartition(SLICES, "slice").mapInArrow(_add_up, "slice int, sums binary").collect()  # ROWS x DIM in all
     m = np.zeros((SLICES, ROWS * DIM // SLICES))
     for r in sums:
-        m[r["slice"]] = np.frombuffer(r["sums"], np.int64)
+        m[r["slice"]] = unpack(r["sums"], np.int64)
     m = m.reshape(ROWS, DIM)
     m = np.sign(m) * np.log1p(np.abs(m))
     norm = np.linalg.norm(m, axis=1, keepdims=True)

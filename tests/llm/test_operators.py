@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -285,6 +286,25 @@ def test_quality_learns_and_is_calibrated(spark, docs, odd, sf):
     assert quality.score_quality(docs([]), labels, F.lit(True)).count() == 0
 
 
+def test_word_vectors_match_brute_force(docs):
+    texts = ["red blue, red green", None, "", "blue", "Red blue! blue red " * 50, "red blue, red green"]
+    want = np.zeros((quality.ROWS, quality.DIM))
+    for text in texts:
+        words, _ = quality.hash_words(pa.array([text or ""]), quality.CLASSES, lower=False)
+        for i in range(len(words)):
+            for j in range(max(0, i - quality.WINDOW), min(len(words), i + quality.WINDOW + 1)):
+                if i != j:
+                    place, sign = quality.index_vectors(words[j:j + 1])
+                    for p, s in zip(place[:, 0], sign[:, 0]):
+                        want[int(words[i] >> np.uint64(50)), p] += s
+    want = np.sign(want) * np.log1p(np.abs(want))
+    size = np.linalg.norm(want, axis=1, keepdims=True)
+    want = want / np.where(size > 0, size, 1)
+    for parts in (1, 5):
+        got = quality.word_vectors(docs(list(enumerate(texts))).repartition(parts))
+        assert np.abs(got - want).max() < 1e-6
+
+
 # --- op6
 
 def base_by_rule(text):
