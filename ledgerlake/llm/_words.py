@@ -68,6 +68,12 @@ def give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
+def return_arrays() -> None:
+    """From now on, this worker's arrays of a megabyte or more go back to the system as soon as they are freed."""
+    if hasattr(_LIBC, "mallopt"):
+        _LIBC.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which else grows with the arrays freed
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """The same mapInArrow function, which hands freed memory back when its partition is done."""
     def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._blobs import pack, unpack
 from ._common import crc_mod, discard, documents, materialise
-from ._words import combine, hash_words, slices, tidy
+from ._words import combine, hash_words, return_arrays, slices, tidy
 
 #: Tokens of a block, and n-grams of a range of the hash space, in expectation.
 BLOCK = 1_000_000
@@ -47,6 +47,7 @@ def _blocks(block: int):
             names=["docs", "held", "lengths", "vocab", "stream", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return_arrays()
         docs, held, parts, size = [], [], [], 0
         for batch in (part for whole in batches for part in slices(whole)):
             words, off = hash_words(batch.column("text"))
@@ -66,6 +67,7 @@ def _blocks(block: int):
 
 def _one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
     """Rows hold megabytes; one at a time is turned into Python objects."""
+    return_arrays()
     for i in range(batch.num_rows):
         yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
 
@@ -129,6 +131,7 @@ def _requests(k: int, ranges: int):
 
 
 def _answer(pdf: pd.DataFrame) -> pd.DataFrame:
+    return_arrays()
     keys = [unpack(x, delta=True) for x in pdf["keys"]]
     uniq, inv = np.unique(np.concatenate(keys), return_inverse=True)
     own = np.concatenate([unpack(x) for x in pdf["counts"]])
