@@ -255,8 +255,10 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = MI
     texts = docs.select(*identity, F.encode(text, "UTF-8").alias("raw"))
     pieces = texts.join(runs, ["id", "th"]).select("raw", "start", "end", "h").mapInArrow(_pieces, "h long, piece binary")
     # hashes of different texts, of which none are to be expected
-    unequal = pieces.groupBy("h").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).where("a <> b").select("h")
-    unequal = [r["h"] for r in unequal.collect()]
+    different = pieces.groupBy("h").agg(F.min("piece").alias("a"), F.max("piece").alias("b")).where("a <> b").select("h")
+    different = materialise(different, "unequal")  # so that the exchanged texts are off the disk before the last join
+    unequal = [r["h"] for r in different.collect()]
+    discard(different)
     gone = materialise(runs.mapInArrow(_cuts(unequal), "id long, th long, cuts array<struct<start: long, end: long>>"), "gone")
     discard(runs)
 
