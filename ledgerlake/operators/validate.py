@@ -46,6 +46,10 @@ REQUIRED = {
 }
 
 
+# Required keys of an item of a decision's selected.
+SELECTED_KEYS = "target_id partition_key source_class selected_route_id required_fields coverage_debt required_source_class static_priority route_metrics selection_reason"
+
+
 def _issues(df: DataFrame, rule: str, table: str, message: Column | str, severity: str = "error", key: str | None = None) -> DataFrame:
     key = key or KEYS[table]
     return df.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(table).alias("table_name"), F.col(key).cast("string").alias("row_key"),
@@ -83,6 +87,39 @@ def unique(rule: str, table: str, column: str | None = None) -> tuple[str, set[s
     return rule, {table}, run
 
 
+def _kind(value: Column) -> Column:
+    """Type of a JSON value; null where the value is missing or JSON null."""
+    return F.nullif(F.schema_of_variant(value), F.lit("VOID"))
+
+
+def _is_text_set(value: Column) -> Column:
+    texts = F.try_variant_get(value, "$", "array<string>")
+    return _kind(value).isin("ARRAY<STRING>", "ARRAY<VOID>") & F.forall(texts, lambda x: F.coalesce(F.trim(x) != "", F.lit(False))) & (F.size(F.array_distinct(texts)) == F.size(texts))
+
+
+#: What a JSON value has to be, and whether it is.
+JSON_KINDS: dict[str, Callable[[Column], Column]] = {
+    "an object": lambda v: _kind(v).startswith("OBJECT"), "an integer": lambda v: _kind(v).rlike(r"^(BIGINT|DECIMAL\(\d+,0\))$"), "a boolean": lambda v: _kind(v) == "BOOLEAN",
+    "a list": lambda v: _kind(v).startswith("ARRAY"), "a list of different texts": _is_text_set,
+}
+
+
+def typed(rule: str, table: str, **kinds: str) -> tuple[str, set[str], Rule]:
+    """Columns whose JSON value is of a kind other than that of JSON_KINDS. Read from raw_line; ledgers without it have typed
+    columns, so nothing is checked. Missing and null values are left to the other rules."""
+    def run(t: Tables) -> DataFrame:
+        df = t[table]
+        if "raw_line" not in df.columns:
+            return _issues(df.where("false"), rule, table, "")
+        whole = F.try_parse_json("raw_line")
+        bad = []
+        for name, kind in kinds.items():
+            value = F.try_variant_get(whole, f"$.{name}", "variant")
+            bad.append(F.when(_kind(value).isNotNull() & ~F.coalesce(JSON_KINDS[kind](value), F.lit(False)), F.lit(f"{name} must be {kind}")))
+        return _issues(df.withColumn("_m", F.explode(F.array_compact(F.array(*bad)))), rule, table, F.col("_m"))
+    return rule, {table}, run
+
+
 def foreign(rule: str, table: str, column: str, parent: str, parent_column: str, array: bool = False) -> tuple[str, set[str], Rule]:
     """Values of column (or its elements) that parent lacks; null refers to nothing."""
     def run(t: Tables) -> DataFrame:
@@ -134,6 +171,28 @@ def _selected(t: Tables) -> DataFrame:
     return _issues(items.where((F.size("ids") != F.col("selected_count")) | (F.size(F.array_distinct("ids")) != F.size("ids"))), "V29", "decisions", "selected targets repeat or their count differs")
 
 
+def _selected_items(t: Tables) -> DataFrame:
+    """Items of selected, read from raw_line: all keys, a route, a debt of 1 or more, fields that are different texts."""
+    df = t["decisions"]
+    if "raw_line" not in df.columns:
+        return _issues(df.where("false"), "V29", "decisions", "")
+    items = F.try_variant_get(F.try_parse_json("raw_line"), "$.selected", "array<variant>")
+    get = lambda item, name: F.try_variant_get(item, f"$.{name}", "variant")
+
+    def message(item: Column) -> Column:
+        lacking = F.array_compact(F.array(*[F.when(get(item, k).isNull(), F.lit(k)) for k in SELECTED_KEYS.split()]))
+        route, debt = F.try_variant_get(item, "$.selected_route_id", "string"), F.try_variant_get(item, "$.coverage_debt", "bigint")
+        fault = lambda good, text: F.when(~F.coalesce(good, F.lit(False)), F.lit(text))
+        found = F.array_compact(F.array(
+            F.when(F.size(lacking) > 0, F.concat(F.lit("missing keys: "), F.array_join(lacking, ","))),
+            fault((_kind(get(item, "selected_route_id")) == "STRING") & (route != ""), "selected_route_id must be a text"),
+            fault(JSON_KINDS["an integer"](get(item, "coverage_debt")) & (debt >= 1), "coverage_debt must be 1 or more"),
+            fault(_is_text_set(get(item, "required_fields")), "required_fields must be a list of different texts")))
+        return F.when(F.coalesce(_kind(item).startswith("OBJECT"), F.lit(False)), F.array_join(found, "; ")).otherwise(F.lit("no object"))
+    found = df.select("decision_id", F.posexplode(F.transform(items, message)).alias("at", "text")).where("text <> ''")
+    return _issues(found, "V29", "decisions", F.concat(F.lit("selected["), F.col("at"), F.lit("]: "), F.col("text")))
+
+
 def _selected_known(t: Tables) -> DataFrame:
     items = t["decisions"].select("decision_id", F.explode("selected.target_id").alias("target_id"))
     return _issues(items.join(t["targets"], "target_id", "left_anti"), "V29", "decisions", F.concat(F.lit("unknown target_id "), F.col("target_id")))
@@ -192,14 +251,20 @@ RULES: list[tuple[str, set[str], Rule]] = [
     where("V19", "frontier", lambda d: (F.col("state") == "exhausted") & lacks("end_reason"), "exhausted without end_reason"),
     where("V19", "frontier", lambda d: (F.col("state") == "blocked") & lacks("blocker_reason"), "blocked without blocker_reason"),
     negative("V19", "frontier", ("new_target_count", "duplicate_target_count", "invalid_target_count")),
+    typed("V19", "frontier", dimensions="an object", new_target_count="an integer", duplicate_target_count="an integer", invalid_target_count="an integer"),
     ("V20", {"frontier"}, _identity_drift), foreign("V21", "frontier", "parent_frontier_id", "frontier", "frontier_id"),
     not_self("V21", "frontier", "parent_frontier_id", "frontier_id"), ("V22", {"frontier"}, _open_end),
+    typed("V23", "targets", dimensions="an object", coverage_fields="a list of different texts", priority="an integer", shard_id="an integer"),
+    typed("V24", "targets", route_candidates="a list of different texts", frontier_ids="a list of different texts"),
     negative("V23", "targets", ("shard_id",)), where("V24", "targets", lambda d: ~F.array_contains("route_candidates", F.col("route_id")), "route_id is not among route_candidates"),
     foreign("V24", "targets", "frontier_ids", "frontier", "frontier_id", array=True),
     foreign("V26", "attempts", "target_id", "targets", "target_id"), enum("V26", "attempts", "stage", V.STAGES), enum("V26", "attempts", "status", V.STATUSES),
     where("V26", "attempts", lambda d: F.col("status").isin(*V.STATUSES) & ~F.col("status").isin(*V.NON_FAILURE) & lacks("error_category"), "failure without error_category"),
     negative("V26", "attempts", ("attempt_no",), 1), negative("V26", "attempts", _TELEMETRY),
     foreign("V27", "attempts", "retry_of_attempt_id", "attempts", "attempt_id"), not_self("V27", "attempts", "retry_of_attempt_id", "attempt_id"),
+    typed("V28", "decisions", policy="an object", ledger_snapshot="an object"), ("V29", {"decisions"}, _selected_items),
+    typed("V29", "decisions", selected="a list", candidate_count="an integer", selected_count="an integer", unresolved_required_cells="an integer", actionable_required_cells="an integer"),
+    typed("V30", "decisions", open_frontier_ids="a list of different texts", discovery_complete="a boolean", exclusion_counts="an object"),
     enum("V30", "decisions", "stop_decision", V.STOP_DECISIONS), ("V29", {"decisions"}, _selected), ("V29", {"decisions", "targets"}, _selected_known),
     where("V30", "decisions", lambda d: (F.col("stop_decision") == "continue") != (F.col("selected_count") > 0), "continue and a selection must go together"),
     foreign("V30", "decisions", "open_frontier_ids", "frontier", "frontier_id", array=True),
@@ -215,6 +280,7 @@ RULES: list[tuple[str, set[str], Rule]] = [
     foreign("V37", "observations", "source_id", "sources", "source_id"), foreign("V37", "observations", "target_id", "targets", "target_id"),
     foreign("V37", "observations", "raw_hash", "raw_artifacts", "sha256"), enum("V37", "observations", "field_kind", V.FIELD_KINDS),
     enum("V37", "observations", "source_strength", V.STRENGTHS), _planned_fields("V37", "observations", "field"),
+    typed("V39", "tasks", allowed_side_effects="a list of different texts", resource_lease_keys="a list of different texts"),
     enum("V38", "tasks", "status", V.TASK_STATES), enum("V39", "tasks", "runner_class", V.RUNNER_CLASSES),
     empty("V39", "tasks", ("executor_id", "dispatch_reason", "expected_output_schema", "acceptance_metric", "escalation_condition")),
     where("V39", "tasks", lambda d: (F.col("runner_class") == "child_agent") & (~F.coalesce(F.col("model_tier").isin(*V.MODEL_TIERS), F.lit(False))

@@ -88,5 +88,31 @@ def test_decision_row_has_the_id_of_its_basis(spark, tables):
     assert S.ledger_digest(tables["attempts"]) == S.ledger_digest(tables["attempts"].repartition(3)) != S.ledger_digest(tables["attempts"].union(tables["attempts"]))
 
 
+def test_kinds_of_nested_values(spark):
+    """Rows of raw JSON, read by a plain restatement too; values missing or null are not these rules' matter."""
+    from ledgerlake.operators import validate
+    values = ["{}", '{"a": 1}', "[]", '["a"]', '["a", "a"]', '["a", " "]', '["a", 1]', "[null]", "1", "12345678901234567890123", "1.5", "true", '"x"', '""', "null"]
+    unique = lambda v: isinstance(v, list) and all(isinstance(x, str) and x.strip() for x in v) and len(set(v)) == len(v)
+    checks = {"policy": ("V28", lambda v: isinstance(v, dict)), "open_frontier_ids": ("V30", unique), "discovery_complete": ("V30", lambda v: isinstance(v, bool)),
+              "candidate_count": ("V29", lambda v: isinstance(v, int) and not isinstance(v, bool)), "selected": ("V29", lambda v: isinstance(v, list))}
+    rows, want = [], set()
+    for name, (rule, good) in checks.items():
+        for i, text in enumerate(values):
+            rows.append((f"{name}-{i}", f'{{"{name}": {text}}}'))
+            if json.loads(text) is not None and not good(json.loads(text)):
+                want.add((rule, f"{name}-{i}"))
+    item = dict.fromkeys(validate.SELECTED_KEYS.split(), "x") | {"coverage_debt": 1, "required_fields": ["f"]}
+    items = {"good": item, "route": item | {"selected_route_id": ""}, "number": item | {"selected_route_id": 3}, "debt": item | {"coverage_debt": 0}, "half": item | {"coverage_debt": 1.5},
+             "fields": item | {"required_fields": ["f", "f"]}, "key": {k: v for k, v in item.items() if k != "route_metrics"}, "none": None, "list": []}
+    rows += [(f"item-{k}", json.dumps({"selected": [item, v]})) for k, v in items.items()] + [("broken", "{"), ("null", None)]
+    want |= {("V29", f"item-{k}") for k in items if k != "good"}
+    df = spark.createDataFrame(rows, "decision_id string, raw_line string")
+    ours = [run for rule, needs, run in validate.RULES if needs == {"decisions"} and run.__qualname__.startswith(("typed", "_selected_items"))]
+    found = [tuple(r) for run in ours for r in run({"decisions": df}).select("rule_id", "row_key", "message").collect()]
+    assert {(a, b) for a, b, m in found if not (b.startswith("selected-") and m.startswith("selected["))} == want
+    assert ("V29", "item-key", "selected[1]: missing keys: route_metrics") in found
+    assert all(run({"decisions": df.drop("raw_line")}).count() == 0 for run in ours)
+
+
 def test_versions_on_the_driver():
     assert version_of("1.10.0") > version_of("1.5.0") > version_of("x") == version_of(None) == ()
