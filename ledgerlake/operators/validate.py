@@ -240,6 +240,13 @@ def _open_end(t: Tables) -> DataFrame:
 
 
 _TELEMETRY = ("valid_record_count", "new_record_count", "elapsed_ms", "input_tokens", "output_tokens", "bytes_received", "cost")
+_NESTED_DECISIONS: list[tuple[str, set[str], Rule]] = [
+    typed("V28", "decisions", policy="an object", ledger_snapshot="an object"), ("V29", {"decisions"}, _selected_items),
+    typed("V29", "decisions", selected="a list", candidate_count="an integer", selected_count="an integer", unresolved_required_cells="an integer", actionable_required_cells="an integer"),
+    typed("V30", "decisions", open_frontier_ids="a list of different texts", discovery_complete="a boolean", exclusion_counts="an object"),
+]
+#: The rules of nested values of decisions alone.
+NESTED_DECISIONS = [run for _, _, run in _NESTED_DECISIONS]
 RULES: list[tuple[str, set[str], Rule]] = [
     *[required(r, t) for r, t in (("V18", "sources"), ("V19", "frontier"), ("V23", "targets"), ("V26", "attempts"), ("V28", "decisions"), ("V34", "coverage"), ("V35", "raw_artifacts"),
                                   ("V37", "observations"), ("V38", "tasks"), ("V44", "claims"), ("V45", "current_view"), ("V46", "conflicts"))],
@@ -262,9 +269,7 @@ RULES: list[tuple[str, set[str], Rule]] = [
     where("V26", "attempts", lambda d: F.col("status").isin(*V.STATUSES) & ~F.col("status").isin(*V.NON_FAILURE) & lacks("error_category"), "failure without error_category"),
     negative("V26", "attempts", ("attempt_no",), 1), negative("V26", "attempts", _TELEMETRY),
     foreign("V27", "attempts", "retry_of_attempt_id", "attempts", "attempt_id"), not_self("V27", "attempts", "retry_of_attempt_id", "attempt_id"),
-    typed("V28", "decisions", policy="an object", ledger_snapshot="an object"), ("V29", {"decisions"}, _selected_items),
-    typed("V29", "decisions", selected="a list", candidate_count="an integer", selected_count="an integer", unresolved_required_cells="an integer", actionable_required_cells="an integer"),
-    typed("V30", "decisions", open_frontier_ids="a list of different texts", discovery_complete="a boolean", exclusion_counts="an object"),
+    *_NESTED_DECISIONS,
     enum("V30", "decisions", "stop_decision", V.STOP_DECISIONS), ("V29", {"decisions"}, _selected), ("V29", {"decisions", "targets"}, _selected_known),
     where("V30", "decisions", lambda d: (F.col("stop_decision") == "continue") != (F.col("selected_count") > 0), "continue and a selection must go together"),
     foreign("V30", "decisions", "open_frontier_ids", "frontier", "frontier_id", array=True),

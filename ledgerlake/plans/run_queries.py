@@ -231,6 +231,29 @@ _DECISIONS = """decisions_ AS (SELECT s_suppkey AS k, 'BDEC-' || (s_suppkey - CA
     CASE WHEN s_suppkey % 8 = 0 THEN 'halt' WHEN s_suppkey % 9 = 0 THEN 'blocked_only' ELSE 'continue' END AS stop FROM supplier)"""
 
 
+# --- nested values of a ledger's raw lines
+
+@query("nested_values", """WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS row_key FROM orders)
+    SELECT 'V28' AS rule_id, row_key, 'policy must be an object' AS message FROM o WHERE k % 5 = 0
+    UNION ALL SELECT 'V30', row_key, 'discovery_complete must be a boolean' FROM o WHERE k % 7 = 0
+    UNION ALL SELECT 'V30', row_key, 'open_frontier_ids must be a list of different texts' FROM o WHERE k % 11 IN (0, 1, 2)
+    UNION ALL SELECT 'V29', row_key, 'candidate_count must be an integer' FROM o WHERE k % 13 IN (0, 1)
+    UNION ALL SELECT 'V29', row_key, 'selected[1]: ' || concat_ws('; ', CASE WHEN k % 17 = 0 THEN 'missing keys: route_metrics' END, CASE WHEN k % 3 = 0 THEN 'coverage_debt must be 1 or more' END) FROM o WHERE k % 17 = 0 OR k % 3 = 0""")
+def nested_values(spark, d):
+    """Kinds of nested values, and selected items, of decisions given as JSON text; from orders, with planted faults."""
+    k = F.col("o_orderkey")
+    pick = lambda n, faults, other: reduce(lambda c, x: c.when(k % n == x[0], x[1]), faults[1:], F.when(k % n == faults[0][0], faults[0][1])).otherwise(other)
+    keys = [x for x in validate.SELECTED_KEYS.split() if x not in ("coverage_debt", "required_fields", "route_metrics")]
+    item = lambda debt, metrics: F.concat(F.lit("{" + "".join(f'"{x}":"x",' for x in keys) + '"required_fields":["f"]'), metrics, F.lit(',"coverage_debt":'), debt, F.lit("}"))
+    metrics = ',"route_metrics":{"n":1}'
+    raw = F.concat(
+        F.lit('{"policy":'), pick(5, [(0, '"p"')], '{"name":"p"}'), F.lit(',"discovery_complete":'), pick(7, [(0, "1")], "true"),
+        F.lit(',"open_frontier_ids":'), pick(11, [(0, '["f","f"]'), (1, '["f",1]'), (2, '"f"')], '["f"]'), F.lit(',"candidate_count":'), pick(13, [(0, "1.5"), (1, "true")], k.cast("string")),
+        F.lit(',"selected":['), item(F.lit("1"), F.lit(metrics)), F.lit(","), item((k % 3).cast("string"), pick(17, [(0, "")], metrics)), F.lit("]}"))
+    rows = table(spark, d, "orders").select(k.cast("string").alias("decision_id"), raw.alias("raw_line"))
+    return reduce(DataFrame.union, [run({"decisions": rows}) for run in validate.NESTED_DECISIONS]).select("rule_id", "row_key", "message")
+
+
 def _found(name: str, where: str, message: str, severity: str = "error", key: str | None = None, source: str | None = None) -> str:
     key = key or f"CAST({validate.KEYS[name]} AS VARCHAR)"
     return f"SELECT '{severity}', '{name}', {key}, '{message}' FROM {source or name + '_'} WHERE {where}"

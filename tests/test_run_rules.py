@@ -107,7 +107,7 @@ def test_kinds_of_nested_values(spark):
     rows += [(f"item-{k}", json.dumps({"selected": [item, v]})) for k, v in items.items()] + [("broken", "{"), ("null", None)]
     want |= {("V29", f"item-{k}") for k in items if k != "good"}
     df = spark.createDataFrame(rows, "decision_id string, raw_line string")
-    ours = [run for rule, needs, run in validate.RULES if needs == {"decisions"} and run.__qualname__.startswith(("typed", "_selected_items"))]
+    ours = validate.NESTED_DECISIONS
     found = [tuple(r) for run in ours for r in run({"decisions": df}).select("rule_id", "row_key", "message").collect()]
     assert {(a, b) for a, b, m in found if not (b.startswith("selected-") and m.startswith("selected["))} == want
     assert ("V29", "item-key", "selected[1]: missing keys: route_metrics") in found
