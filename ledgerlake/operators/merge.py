@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import strength_rank
@@ -37,7 +37,11 @@ def materializable(obs: DataFrame) -> DataFrame:
 
     An explicit null counts as given where raw_line tells it from a missing key.
     """
-    out = obs.dropDuplicates(["observation_id"]).where(F.col("value_json").isNotNull() & (F.col("value_json") != "null"))
+    return _usable(obs.dropDuplicates(["observation_id"]))
+
+
+def _usable(obs: DataFrame) -> DataFrame:
+    out = obs.where(F.col("value_json").isNotNull() & (F.col("value_json") != "null"))
     if "value_state" in obs.columns:
         given = F.coalesce(F.array_contains(F.json_object_keys("raw_line"), "value_state"), F.lit(False)) if "raw_line" in obs.columns else F.lit(False)
         out = out.where(F.coalesce(F.col("value_state"), F.when(given, "null").otherwise("present")) == "present")
@@ -49,15 +53,20 @@ def kind_conflicts(obs: DataFrame) -> DataFrame:
     return materializable(obs).groupBy("observation_key").agg(F.count_distinct("field_kind").alias("kinds")).where("kinds > 1")
 
 
-def _keyed(obs: DataFrame, current_run: str | None) -> DataFrame:
-    """An aggregate row per key: counts, the winner, ids and values of the candidates left after the current-run rule."""
+def _ranking(current_run: str | None) -> tuple[Column, Column]:
+    """(whether the current-run rule leaves an observation, what the observations of a key are ranked by)."""
     dynamic = F.col("field_kind") == "dynamic"
     current = F.col("run_id") == F.lit(current_run)
     inside = ~dynamic | current if current_run is not None else F.lit(True)
     rank = strength_rank(F.col("source_strength")).cast("long")
     when, got = F.col("observed_at").try_cast("timestamp").cast("double"), F.col("retrieved_at").try_cast("timestamp").cast("double")
     none = F.lit(0.0)
-    order = F.struct(F.when(dynamic, when).otherwise(none), rank, F.when(dynamic, none).otherwise(when), got, F.col("observation_id"))
+    return inside, F.struct(F.when(dynamic, when).otherwise(none), rank, F.when(dynamic, none).otherwise(when), got, F.col("observation_id"))
+
+
+def _keyed(obs: DataFrame, current_run: str | None) -> DataFrame:
+    """An aggregate row per key: counts, the winner, ids and values of the candidates left after the current-run rule."""
+    inside, order = _ranking(current_run)
     use = lambda c: F.when(inside, c)
     return materializable(obs).groupBy("observation_key").agg(
         F.max("field_kind").alias("field_kind"), F.count_if(inside).alias("candidates"),
@@ -78,6 +87,19 @@ def current_view(obs: DataFrame, current_run: str | None = None) -> DataFrame:
                     F.array_except("ids", F.array("winner.observation_id")).alias("alternative_observation_ids"))
 
 
+def extended_view(view: DataFrame, obs: DataFrame, current_run: str | None = None) -> DataFrame:
+    """The current view of what view, of the same current run, was made from and of obs; obs may repeat observations, but
+    ids must not stand for several payloads. The ranking is total, so a beaten observation never wins later and its id is enough."""
+    inside, order = _ranking(current_run)
+    own = [c for c in payload_columns(obs) if c != "observation_key"]
+    new = _usable(obs).where(inside).select("observation_key", *own, F.array().cast("array<string>").alias("_beaten"))
+    old = view.select("observation_key", *own, F.col("alternative_observation_ids").alias("_beaten"))
+    k = new.unionByName(old).groupBy("observation_key").agg(
+        F.max_by(F.struct(*own), order).alias("winner"), F.array_sort(F.collect_set("observation_id")).alias("ids"), F.flatten(F.collect_list("_beaten")).alias("beaten"))
+    return k.select("observation_key", *[F.col(f"winner.{c}").alias(c) for c in own], F.col("winner.observation_id").alias("selected_from_observation_id"),
+                    F.array_sort(F.array_except(F.array_union("ids", "beaten"), F.array("winner.observation_id"))).alias("alternative_observation_ids"))
+
+
 def conflicts(obs: DataFrame, current_run: str | None = None) -> DataFrame:
     """Keys with several values, and dynamic keys that the current run lacks."""
     k = _keyed(obs, current_run)

@@ -71,5 +71,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ledger(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, sql = _SPARK[name]
-    return spark.sql(sql, t=table(spark, sf_dir, source))
+    return derived(spark, table(spark, sf_dir, _SPARK[name][0]), name)
+
+
+def derived(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """A ledger from the rows of its table, which may be a stream."""
+    return spark.sql(_SPARK[name][1], t=rows)

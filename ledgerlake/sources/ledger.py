@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
@@ -122,8 +124,17 @@ def replace_atomically(df: DataFrame, path: str, fmt: str = "json") -> None:
     Versions but the last two are deleted, so that a reader of the one before can end. Read it with read_current().
     """
     spark = df.sparkSession
-    version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+    version = new_version()
     df.write.format(fmt).save(f"{path}/{version}")
+    point_to(spark, path, version)
+
+
+def new_version() -> str:
+    return f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
+
+
+def point_to(spark: SparkSession, path: str, version: str) -> None:
+    """Make a version that is written in full the current one, by one rename; versions but it and the one before are deleted."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     before = current_version(spark, path)
@@ -182,6 +193,93 @@ def append_idempotent(new: DataFrame, path: str, key: str, payload: list[str]) -
     return n
 
 
+#: Spark deletes the shuffle files of a query at its end. Only for frames that are written once and read from there.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SLICE = re.compile(r"slice-(\d+)-of-(\d+)-")
+
+
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at).close()
+
+
+def in_slice(key: str, n: int, of: int) -> Column:
+    """Whether a row belongs to a slice of a table, by the hash of its key; of is a power of two."""
+    return F.pmod(F.xxhash64(key), F.lit(of)) == n
+
+
+def write_slice(df: DataFrame, path: str, n: int, of: int) -> None:
+    """Add a slice to the Parquet files in path, under names that say which slice it is."""
+    own = f"{path}/_slice-{uuid.uuid4().hex}"
+    with shuffles_deleted(df.sparkSession):
+        df.write.options(**{"compression": "zstd", "parquet.writer.version": "v2"}).parquet(own)  # texts in order take less as differences
+    move_files(df.sparkSession, own, path, f"slice-{n}-of-{of}-")
+
+
+def move_files(spark: SparkSession, source: str, path: str, prefix: str = "") -> None:
+    """Rename the data files in source into path, and delete source."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(jvm.org.apache.hadoop.fs.Path(path))
+    for x in fs.listStatus(at):
+        name = x.getPath().getName()
+        if name[0] not in "_." and not fs.rename(x.getPath(), jvm.org.apache.hadoop.fs.Path(path, prefix + name)):
+            raise OSError(f"{x.getPath()} can't be moved to {path}")
+    fs.delete(at, True)
+
+
+def read_slice(spark: SparkSession, path: str, schema: StructType, key: str, n: int, of: int) -> DataFrame:
+    """The rows of a slice in path; files that are named after other slices aren't read. Both numbers of slices are powers of two."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = []
+    for x in fs.listStatus(at) if fs.exists(at) else ():
+        name, slice_ = x.getPath().getName(), _SLICE.match(x.getPath().getName())
+        if name[0] not in "_." and (not slice_ or (int(slice_[1]) - n) % min(int(slice_[2]), of) == 0):
+            files.append(x.getPath().toString())
+    rows = spark.read.schema(schema).parquet(*files) if files else spark.createDataFrame([], schema)
+    return rows.where(in_slice(key, n, of))
+
+
+def write_fresh(new: DataFrame, existing: DataFrame, path: str, key: str, payload: list[str], n: int, of: int) -> None:
+    """Add to path, as a slice, the rows whose id existing lacks, each once; an id with another payload is an error.
+
+    Payloads are compared only where an id occurs several times.
+    """
+    known = existing.select(key).distinct().withColumn("_known", F.lit(True))
+    no_id = F.when(F.col(key).isNull(), F.struct(*payload)).alias("_no_id")  # rows without id stay apart
+    rows = new.repartition(key).groupBy(key, no_id).agg(*[F.first(c).alias(c) for c in payload], F.count("*").alias("_n")).join(known, key, "left")
+    seen = Observation()
+    rows = rows.observe(seen, F.count_if((F.col("_n") > 1) | F.col("_known")).alias("again")).where("_known is null").select(*new.columns)
+    write_slice(rows, path, n, of)
+    if seen.get["again"]:
+        with shuffles_deleted(new.sparkSession):
+            bad = split_append(new, existing.join(new.select(key).distinct(), key, "left_semi"), key, payload)[1].select(key).limit(5).collect()
+        if bad:
+            raise ValueError(f"ids with another payload: {[r[0] for r in bad]}")
+
+
 def payload_store(files: DataFrame) -> DataFrame:
     """Content-addressed places of payloads: files has path and content (the binaryFile source).
 

@@ -216,6 +216,44 @@ def test_merge_stream_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
+def test_merge_stream_in_slices(spark, tmp_path, monkeypatch):
+    """As above in many slices, whose shuffles don't stay; repeats, a changed current run, and ids with another payload or key."""
+    from ledgerlake.streaming import logs
+    monkeypatch.setattr(logs, "SLICE_ROWS", 120)
+    rows = [(f"o-{i}", f"run-{i % 3}", f"k-{i * 7 % 40}", ("static", "dynamic")[i * 7 % 2], str(i % 11), ("unknown", "weak_signal")[i % 2], f"2025-01-{i % 28 + 1:02}", "2025-03-01") for i in range(240)]
+    at = lambda x: str(tmp_path / x)
+    schema = spark.createDataFrame([], OBS).schema
+
+    def arrive(part, run="run-2"):
+        spark.createDataFrame(part, OBS).coalesce(1).write.mode("append").json(at("in"))
+        logs.merge_stream(logs.read_log(spark, at("in"), schema), at("store"), at("view"), at("cp"), run).awaitTermination()
+
+    def same(seen, run="run-2"):
+        want = M.current_view(spark.createDataFrame(seen, OBS), run)
+        assert sorted(map(str, L.read_current(spark, at("view"), want.schema, "parquet").collect())) == sorted(map(str, want.collect()))
+        assert sorted(r[0] for r in spark.read.parquet(at("store")).select("observation_id").collect()) == sorted({r[0] for r in seen})
+    arrive(rows[:90])
+    same(rows[:90])
+    arrive(rows[60:200] + rows[100:130])
+    same(rows[:200])
+    view = L.current_version(spark, at("view"))
+    assert any(n.startswith("slice-") and "-of-1-" not in n for n in map(lambda p: p.name, (tmp_path / "store").iterdir()))
+    assert not [p for p in (tmp_path / "store").iterdir() if p.name.startswith("_")]
+    for bad in (("o-1", "run-1", "k-7", "dynamic", "other", *rows[1][5:]), ("o-1", "run-1", "k-39", *rows[1][3:])):
+        with pytest.raises(Exception, match="another payload"):
+            arrive(rows[200:] + [bad])
+        for f in (tmp_path / "in").glob("part-*"):
+            if f.stat().st_mtime == max(x.stat().st_mtime for x in (tmp_path / "in").glob("part-*")):
+                f.unlink()
+                break
+        import shutil
+        shutil.rmtree(at("cp"))
+        assert L.current_version(spark, at("view")) == view and spark.read.parquet(at("store")).count() == 200
+        assert len(list((tmp_path / "view").glob("v-*"))) == 2
+    arrive(rows, "run-1")
+    same(rows, "run-1")
+
+
 def test_run_report_and_package_files(spark, tmp_path):
     from ledgerlake.operators import report as R
     att = spark.createDataFrame(list(attempt_rows()), ATT).withColumn("run_id", F.lit("r")).withColumn("error_category", F.lit("e"))
