@@ -1,18 +1,18 @@
 """SentencePiece encoding and decoding with N-best segmentation.
 
-Forward Viterbi scores over the piece lattice are exact heuristics for a backward A-star search. No piece crosses
-from a character that isn't a space to a space, nor holds a newline, so the lattice of a text is a chain of
-independent ones (segments). For each distinct segment the best path and its gap to the second best are computed
+Forward Viterbi scores over the piece lattice are exact heuristics for a backward A-star search. Between two characters
+that stand side by side in no piece, no piece crosses, so the lattice of a text is a chain of independent ones
+(segments). For each distinct segment the best path and its gap to the second best are computed
 once. Of a text's N best paths none need differ from the best one outside the N - 1 segments with the smallest gaps;
 A-star lists the N best paths of those, and the sums of the lists give the N best of the whole text.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import itertools
-import re
 from array import array
 from collections.abc import Iterator
 
@@ -26,7 +26,7 @@ from ._words import give_back, slices
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
-#: Segments that a worker remembers (about 300 bytes each); when it has more at the start of a slice, it starts anew.
+#: Segments that a worker remembers (about 300 bytes each); when it has more at the start of a slice, those seen in one slice only go.
 MEMORY = 300_000
 #: Characters of a segment up to which its best path is found together with those of others.
 TOGETHER = 64
@@ -36,7 +36,8 @@ BUNCH = 8_000
 SLICE = 1 << 21
 #: Below the lowest piece score by so much scores a character that no piece covers; it becomes its UTF-8 bytes.
 UNKNOWN = 10.0
-_SEGMENT = re.compile(r" *[^ \n]+| +|\n")
+#: Bits of the table of neighbours; pairs of characters that share an entry leave segments longer, never wrong.
+PAIR_BITS = 20
 
 
 def load_pieces(model_file: str = MODEL_FILE) -> list[tuple[str, float, str]]:
@@ -48,6 +49,21 @@ def load_pieces(model_file: str = MODEL_FILE) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of neighbouring code points (uint32) in the table of neighbours."""
+    return ((a << np.uint32(10)) + b) & np.uint32((1 << PAIR_BITS) - 1)
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+@functools.cache
+def _picks(sizes: tuple[int, ...], n_best: int) -> list[tuple[int, ...]]:
+    """Ranks in lists of these sizes that can be among the n_best sums."""
+    return [pick for pick in itertools.product(*[range(min(n, n_best)) for n in sizes]) if sum(pick) < n_best]
+
+
 def _by(places: np.ndarray) -> list[np.ndarray]:
     """Numbers of the edges by place, in order of places."""
     order = np.argsort(places, kind="stable")
@@ -69,8 +85,6 @@ class Lattice:
             elif kind == "piece":
                 text = piece.replace("▁", " ")
                 self.raw.append(text.encode("utf-8"))
-                if re.search("[^ ] |\n", text):
-                    raise ValueError(f"piece {piece!r} crosses segments")
                 self.ids[text] = (i, float(score))
             else:
                 self.raw.append(b"")
@@ -87,8 +101,15 @@ class Lattice:
     def _table(self) -> None:
         """The trie as sorted keys (node, letter) with the node, piece id and score they lead to."""
         letters = sorted({c for text in self.ids for c in text})
-        self.letters = np.array([ord(c) for c in letters], dtype=np.int64)
         code, keys, to, piece, score = {c: i for i, c in enumerate(letters)}, [], [], [], []
+        self.code = np.full(0x110000, -1, dtype=np.int32)  # numbers of letters by code point
+        self.code[[ord(c) for c in letters]] = np.arange(len(letters))
+        self.side_by_side = np.zeros(1 << PAIR_BITS, dtype=bool)
+        if self.ids:
+            whole = _codes("".join(self.ids))
+            inner = np.ones(len(whole), dtype=bool)
+            inner[np.cumsum([len(text) for text in self.ids]) - 1] = False
+            self.side_by_side[_pair(whole[:-1], whole[1:])[inner[:-1]]] = True
         todo, nodes = [(self.trie, 0)], 1
         while todo:
             node, own = todo.pop()
@@ -99,16 +120,63 @@ class Lattice:
                 score.append(s)
                 todo.append((below, nodes))
                 nodes += 1
-        order = np.argsort(keys)
-        self.keys, self.to, self.piece, self.piece_score = (np.array(x)[order] for x in (keys or [-1], to or [0], piece or [-1], score or [0.0]))
+        self.letters = len(letters)
+        self.to, self.piece, self.piece_score = (np.array(x) for x in (to or [0], piece or [-1], score or [0.0]))
+        # keys by hash: a key is at its own place or behind it, with no free place between
+        self.shift = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        self.held = np.full((1 << (64 - int(self.shift))) + len(keys) + 1, -1, dtype=np.int64)
+        self.entry = np.zeros(len(self.held), dtype=np.int64)
+        left = np.arange(len(keys))
+        key = np.array(keys, dtype=np.int64)
+        at = self._place(key)
+        while len(left):
+            free = np.flatnonzero(self.held[at] < 0)
+            first = free[np.unique(at[free], return_index=True)[1]]
+            self.held[at[first]], self.entry[at[first]] = key[left[first]], left[first]
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, at = left[rest], at[rest] + 1
+
+    def _place(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Numbers of the trie's keys, -1 for what is none."""
+        at = self._place(key)
+        held = self.held[at]
+        out = np.where(held == key, self.entry[at], -1)
+        on = np.flatnonzero((held != key) & (held >= 0))
+        while len(on):
+            at[on] += 1
+            held = self.held[at[on]]
+            hit = held == key[on]
+            out[on[hit]] = self.entry[at[on[hit]]]
+            on = on[~hit & (held >= 0)]
+        return out
 
     def _forget(self) -> None:
         """Start without segments. By number: score and gap to the second best path (infinite if there is none) of the
-        best path, whether its pieces spell the segment, and where its ids end in `flat`."""
+        best path, whether its pieces spell the segment, in how many slices it was, and where its ids end in `flat`."""
         self.known: dict[str, int] = {}
-        self.score, self.gap, self.exact, self.flat, self.ends = array("d"), array("d"), array("b"), array("i"), array("q", [0])
+        self.score, self.gap, self.exact, self.uses, self.flat, self.ends = array("d"), array("d"), array("b"), array("i"), array("i"), array("q", [0])
         self.lists: dict[str, list[tuple[float, np.ndarray]]] = {}
 
+    def _thin(self) -> None:
+        """Forget the segments that were in one slice only; of the others half of MEMORY at most stay, the most used."""
+        uses, ends, flat = np.array(self.uses), np.array(self.ends), np.array(self.flat)
+        stay = uses > 1
+        if stay.sum() > MEMORY // 2:
+            stay[:] = False
+            stay[np.argsort(-uses, kind="stable")[:MEMORY // 2]] = True
+        self.known = dict(zip(itertools.compress(self.known, stay.tolist()), itertools.count()))
+        for name in ("score", "gap", "exact"):
+            old = getattr(self, name)
+            setattr(self, name, array(old.typecode, np.array(old)[stay].tobytes()))
+        self.uses = array("i", (uses[stay] // 2).tobytes())
+        long = np.diff(ends)
+        self.flat = array("i", flat[np.repeat(stay, long)].tobytes())
+        self.ends = array("q", np.concatenate([[0], np.cumsum(long[stay])]).astype(np.int64).tobytes())
+
     def _edges(self, seg: str) -> tuple[list[tuple[int, int, float, int]], list[float], list[int]]:
         """Edges (start, end, score, id) by start, the best score before each place, and the edge that reaches it.
 
@@ -147,6 +215,7 @@ class Lattice:
         self.score.append(score)
         self.gap.append(gap)
         self.exact.append(b"".join([self.raw[i] for i in ids]) == seg.encode("utf-8", "surrogatepass"))
+        self.uses.append(0)
         self.flat.extend(ids)
         self.ends.append(len(self.flat))
 
@@ -181,50 +250,47 @@ class Lattice:
             return
         size = np.fromiter(map(len, segs), np.int64, len(segs))
         head = np.concatenate([[0], np.cumsum(size + 1)])  # each segment is followed by one place more, its end
-        text = np.frombuffer("\n".join([*segs, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letter = np.minimum(np.searchsorted(self.letters, text), max(len(self.letters) - 1, 0))
-        letter = np.where((self.letters[letter] == text) if len(self.letters) else False, letter, -1)
-        inside = np.ones(len(text), dtype=bool)
+        owner = np.repeat(np.arange(len(segs), dtype=np.int16 if len(segs) < 1 << 15 else np.int64), size + 1)  # int16 is sorted by radix
+        depth = (np.arange(head[-1]) - np.repeat(head[:-1], size + 1)).astype(np.int16)
+        letter = self.code[_codes("\n".join([*segs, ""]))]
+        inside = np.ones(len(letter), dtype=bool)
         inside[head[1:] - 1] = False
         letter[~inside] = -1
 
-        place, node, found = np.flatnonzero(inside), np.zeros(int(size.sum()), dtype=np.int64), []
-        single = np.zeros(len(text), dtype=bool)  # places whose character is a piece
+        place, node, found = np.flatnonzero(inside & (letter >= 0)), 0, []
+        single = np.zeros(len(letter), dtype=bool)  # places whose character is a piece
         step = 0
         while len(place):
-            c = letter[place + step]
-            key = node * len(self.letters) + c
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            on = (c >= 0) & (self.keys[at] == key)
-            place, at = place[on], at[on]
-            node = self.to[at]
-            whole = self.piece[at] >= 0
-            found.append((place[whole], np.full(int(whole.sum()), step + 1), self.piece_score[at[whole]], self.piece[at[whole]]))
+            at = self._find(node * self.letters + letter[place + step])
+            place, at = place[on := at >= 0], at[on]
+            node, whole = self.to[at], self.piece[at] >= 0
             step += 1
+            found.append((place[whole], np.full(int(whole.sum()), step), self.piece_score[at[whole]], self.piece[at[whole]]))
             if step == 1:
                 single[place[whole]] = True
+            place, node = place[on := letter[place + step] >= 0], node[on]
         rest = np.flatnonzero(inside & ~single)
         found.append((rest, np.ones(len(rest), dtype=np.int64), np.full(len(rest), self.unknown), np.full(len(rest), -1)))
         start, long, s, piece = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((long, start))
+        order = np.argsort(depth[start], kind="stable")
+        order = order[np.argsort(owner[start[order]], kind="stable")]
         start, s, piece = start[order], s[order], piece[order]
         end = start + long[order]
-        own = np.searchsorted(head, start, "right") - 1
-        begin, stop = start - head[own], end - head[own]
+        own, begin, stop = owner[start], depth[start], depth[end]
 
         # edges from one place of each segment end at different places, so plain assignment will do
-        score, back = np.full(len(text), -np.inf), np.zeros(len(text), dtype=np.int64)
+        score, back = np.full(len(letter), -np.inf), np.zeros(len(letter), dtype=np.int64)
         score[head[:-1]] = 0.0
         for e in _by(begin):
             new = score[start[e]] + s[e]
             e, new = e[better := new > score[end[e]]], new[better]
             score[end[e]], back[end[e]] = new, e
-        rest = np.full(len(text), -np.inf)
+        rest = np.full(len(letter), -np.inf)
         rest[head[1:] - 1] = 0.0
         for e in reversed(_by(stop)):
             rest[start[e]] = np.maximum(rest[start[e]], s[e] + rest[end[e]])
         path, now = np.zeros(len(start), dtype=bool), head[1:] - 1
-        while len(now := now[now > head[np.searchsorted(head, now, "right") - 1]]):
+        while len(now := now[depth[now] > 0]):
             path[back[now]] = True
             now = start[back[now]]
         through = np.where(path, -np.inf, score[start] + s + rest[end])
@@ -249,6 +315,7 @@ class Lattice:
         self.score.frombytes(best[~spelled].tobytes())
         self.gap.frombytes(gap[~spelled].tobytes())
         self.exact.frombytes(exact.astype(np.int8).tobytes())
+        self.uses.frombytes(bytes(4 * len(segs)))
         self.ends.frombytes((np.cumsum(several) + len(self.flat)).astype(np.int64).tobytes())
         self.flat.frombytes(ids.astype(np.int32).tobytes())
 
@@ -280,35 +347,63 @@ class Lattice:
             self.lists[seg] = found
         return found
 
+    def _split(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The segments of all texts in order, as numbers of distinct ones; the distinct ones; and how many each text has."""
+        whole = [" " + t if t else "" for t in texts]
+        sizes = np.fromiter(map(len, whole), np.int64, len(whole))
+        text = "".join(whole)
+        if not text:
+            return np.zeros(0, np.int64), [], sizes
+        code, raw = _codes(text), text.encode("utf-8", "surrogatepass")
+        first = np.ones(len(code), dtype=bool)
+        first[1:] = ~self.side_by_side[_pair(code[:-1], code[1:])]
+        heads = np.concatenate([[0], np.cumsum(sizes)])
+        first[heads[:-1][sizes > 0]] = True
+        at = np.flatnonzero(first)
+        many = np.diff(np.searchsorted(at, heads))
+        if len(raw) > len(code):
+            at = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)[at]
+        off = np.append(at, len(raw)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(off), pa.py_buffer(raw)]).dictionary_encode()
+        return coded.indices.to_numpy().astype(np.int64), [x.decode("utf-8", "surrogatepass") for x in coded.dictionary.to_pylist()], many
+
     def encode_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, bool, list[tuple[float, list[tuple[int, int, np.ndarray]]]]]]:
         """For each text: the best ids, whether they spell the text, and its n_best segmentations, best first, as score and
         changes (from, to, ids) of the best ids. The texts' segments are looked up together."""
-        if len(self.known) > MEMORY or len(self.lists) > MEMORY // 10:
-            self._forget()
-        found = [_SEGMENT.findall(" " + t) if t else [] for t in texts]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        if len(self.known) > MEMORY:
+            self._thin()
+        if len(self.lists) > MEMORY // 10:
+            self.lists = {}
+        which, distinct, sizes = self._split(texts)
         at = np.concatenate([[0], np.cumsum(sizes)])
-        new = [seg for seg in dict.fromkeys(itertools.chain.from_iterable(found)) if seg not in self.known]
+        new = [seg for seg in distinct if seg not in self.known]
         for lo in range(0, len(new), BUNCH):
             self.all_best(new[lo:lo + BUNCH])
-        idx = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(found)), np.int64, int(at[-1]))
-        ends, flat = np.frombuffer(self.ends, np.int64).copy(), np.frombuffer(self.flat or b"", np.int32).copy()
-        score, gap, exact = np.frombuffer(self.score or b"")[idx], np.frombuffer(self.gap or b"")[idx], np.frombuffer(self.exact or b"", np.int8)[idx]
-        long = ends[idx + 1] - ends[idx]
+        own = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        if distinct:
+            np.frombuffer(self.uses, np.int32)[own] += 1
+        ends, score, gap, exact = (np.frombuffer(x or b"", x.typecode)[own] for x in (self.ends, self.score, self.gap, self.exact))
+        long = np.frombuffer(self.ends, np.int64)[own + 1] - ends
+        first = np.concatenate([[0], np.cumsum(long)])
+        flat = np.frombuffer(self.flat or b"", np.int32)[np.repeat(ends - first[:-1], long) + np.arange(first[-1])]
+        score, gap, exact, long, first = score[which], gap[which], exact[which], long[which], first[which]
         to = np.concatenate([[0], np.cumsum(long)])  # in the ids of all texts
-        ids = flat[np.repeat(ends[idx] - to[:-1], long) + np.arange(to[-1])]
+        ids = flat[np.repeat(first - to[:-1], long) + np.arange(to[-1])]
         full = np.flatnonzero(sizes)
         total, same = np.zeros(len(texts)), np.ones(len(texts), dtype=bool)
         if len(full):
             total[full] = np.add.reduceat(score, at[full])
             same[full] = np.add.reduceat(exact.astype(np.int64), at[full]) == sizes[full]
-        # only the n_best - 1 segments with the smallest gaps can differ from the best path
-        order = np.lexsort((gap, np.repeat(np.arange(len(texts)), sizes)))
+        few = self.n_best - 1
         for t in range(len(texts)):
-            lo, hi = at[t], at[t + 1]
-            loose = [i for i in order[lo:min(hi, lo + self.n_best - 1)].tolist() if gap[i] < np.inf]
-            lists = [self.n_best_paths(found[t][i - lo]) for i in loose]
-            ranks = sorted((-sum(l[r][0] for l, r in zip(lists, pick)), pick) for pick in itertools.product(*[range(len(l)) for l in lists]) if sum(pick) < self.n_best)
+            # only the n_best - 1 segments with the smallest gaps can differ from the best path
+            lo, hi = int(at[t]), int(at[t + 1])
+            own = gap[lo:hi]
+            near = np.flatnonzero(own <= np.partition(own, few - 1)[few - 1]) if 0 < few < hi - lo else np.arange(min(few, hi - lo))
+            loose = [lo + i for i in near[np.argsort(own[near], kind="stable")[:few]].tolist() if own[i] < np.inf]
+            lists = [self.n_best_paths(distinct[which[i]]) for i in loose]
+            sums = [[-score for score, _ in l] for l in lists]
+            ranks = sorted((sum([l[r] for l, r in zip(sums, pick)]), pick) for pick in _picks(tuple(map(len, lists)), self.n_best))
             base = total[t] - sum(score[i] for i in loose)
             zero = to[lo]
             ways = [(float(base - minus), [(int(to[i] - zero), int(to[i + 1] - zero), l[r][1]) for i, l, r in sorted(zip(loose, lists, pick), key=lambda x: x[0]) if r])

@@ -211,6 +211,38 @@ def test_encode_odd_rows(docs, odd):
     assert sentencepiece_nbest.encode_texts(docs([])).count() == 0
 
 
+def _ways(lattice, texts):
+    return [(ids.tolist(), same, [(s, sentencepiece_nbest.changed(ids, c).tolist()) for s, c in ways]) for ids, same, ways in lattice.encode_all(texts)]
+
+
+def test_segments_end_where_no_piece_crosses():
+    lattice = sentencepiece_nbest.Lattice(sentencepiece_nbest.load_pieces())
+    list(lattice.encode_all(["word, word. word; word\nword", "word"]))
+    assert sorted(lattice.known) == sorted([" word", ",", ".", ";", "\n", "word"])
+    # pieces may cross spaces and hold newlines: then segments do
+    crossing = sentencepiece_nbest.Lattice([("▁a▁b", -1.0, "piece"), ("▁a", -2.0, "piece"), ("▁b", -2.0, "piece"), ("c\nd", -3.0, "piece")])
+    (ids, same, ways), = crossing.encode_all(["a b a b ac\nd"])
+    assert ids.tolist() == [0, 0, 1, 3] and same and [s for s, _ in ways] == [-7.0, -10.0, -10.0, -13.0]
+    assert _ways(sentencepiece_nbest.Lattice([("<unk>", 0.0, "other")]), ["a"])[0][1] is False
+
+
+def test_segments_seen_again_stay_when_memory_is_full(monkeypatch):
+    rng = random.Random(5)
+    rare = lambda: "".join(rng.choice(["th", "an", "er", "on", "é", "zz"]) for _ in range(8))
+    texts = [["the house and the garden, " + " ".join(rare() for _ in range(12)), None] for _ in range(12)]
+    want = [_ways(sentencepiece_nbest.Lattice(sentencepiece_nbest.load_pieces()), t) for t in texts]
+    lattice = sentencepiece_nbest.Lattice(sentencepiece_nbest.load_pieces())
+    learned, all_best = [], lattice.all_best
+    monkeypatch.setattr(sentencepiece_nbest, "MEMORY", 40)
+    monkeypatch.setattr(lattice, "all_best", lambda segs: (learned.extend(segs), all_best(segs)))
+    assert [_ways(lattice, t) for t in texts] == want
+    assert len(learned) > 3 * 40 and learned.count(" the") == learned.count(" house") == 1 and len(lattice.known) < 40 + 20
+    # with more of them than half the memory, the most used stay
+    monkeypatch.setattr(sentencepiece_nbest, "MEMORY", 4)
+    assert [_ways(lattice, t) for t in texts] == want
+    assert _ways(lattice, [None, ""]) == [([], True, [(0.0, [])])] * 2 and _ways(lattice, []) == []
+
+
 # --- op4
 
 def test_line_dedup_catches_passages_and_leaves_the_rest(docs, odd):
